@@ -2,14 +2,21 @@
 
 1. Each text becomes a 64-bit fingerprint: the majority, bit by bit, of the XXH64 of its word shingles.
 2. Equal fingerprints collapse to one row (its smallest id), so groups of exact copies never travel further.
-3. Fingerprints within radius r agree on at least one of r + 1 blocks of bits. Rows meet by (block, value); a block value
-   with many fingerprints is dealt into shards of bounded size, and each shard's tree is sent to every shard of the
-   value, so one dense value is many tasks of bounded memory.
+3. Of r + j blocks of bits, fingerprints within radius r agree on at least j. Rows meet by every choice of j blocks; j is
+   the least that leaves about `shard` / 2 fingerprints to a value, so it grows with the corpus and no pair is lost. A
+   value with more is dealt into shards of bounded size, and each shard's tree is sent to every shard of the value, so
+   one dense value is many tasks of bounded memory.
 4. Per pair of shards a BK-tree (children keyed by the integer Hamming distance to the parent) is built level by level
    and all queries walk it together, following only edges within [d - r, d + r]. Links are merged at once by union-find
    and leave the task as at most one (member, root) row per fingerprint: no pairs are emitted.
 5. Connected components over those rows by alternating large-star and small-star rounds, written to the shared folder.
 
+similar_documents() finds near copies by the similarity of five-word shingles. A 64-bit fingerprint of five-word shingles
+differs in ten bits at similarity 0.8, too many to search for, so candidates come from `lanes` independent fingerprints of
+two-word shingles (each searched as above; of pairs at 0.8 to 0.9, a lane finds 0.3 and eight find 0.93), as links that
+really lie within the radius. Each link is then verified by a `wide`-word fingerprint of the five-word shingles: 1,024
+bits give the similarity with a standard error of 0.025 at 0.8.
+
 Edge cases. Null, empty and blank texts have fingerprint zero and are linked like any other. A null id is kept, is never
 a representative if another member has an id, and gets the class of its fingerprint. Repeated rows stay. An empty table
 gives an empty table. Extra columns are ignored by fingerprints(); near_duplicates() returns only its own columns.
@@ -17,7 +24,9 @@ gives an empty table. Extra columns are ignored by fingerprints(); near_duplicat
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +36,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LANES = np.uint64(0x0101010101010101)
+STEP = 2048  # queries that walk a forest at a time
 
 
 def majority(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -96,17 +106,16 @@ def forest(fp: np.ndarray, group: np.ndarray) -> dict[str, np.ndarray]:
 
 def walk(tree: dict[str, np.ndarray], fp: np.ndarray, query: np.ndarray, root: np.ndarray, r: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query index, node) of all nodes within r of each query, level by level; query i starts at root[i]."""
-    for a in range(0, len(query), 1 << 15):
-        q, node = np.arange(a, min(len(query), a + (1 << 15))), root[a : a + (1 << 15)]
-        while len(q):
-            d = np.bitwise_count(query[q] ^ fp[node]).astype(np.int64)
-            hit = d <= r
-            yield q[hit], node[hit]
-            lo = np.searchsorted(tree["key"], node * 65 + np.maximum(d - r, 0))
-            n = np.searchsorted(tree["key"], node * 65 + np.minimum(d + r, 64), side="right") - lo
-            q = np.repeat(q, n)
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(q))
-            node = tree["child"][at]
+    q, node = np.arange(len(query)), root
+    while len(q):
+        d = np.bitwise_count(query[q] ^ fp[node]).astype(np.int64)
+        hit = d <= r
+        yield q[hit], node[hit]
+        lo = np.searchsorted(tree["key"], node * 65 + np.maximum(d - r, 0))
+        n = np.searchsorted(tree["key"], node * 65 + np.minimum(d + r, 64), side="right") - lo
+        q = np.repeat(q, n)
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(q))
+        node = tree["child"][at]
 
 
 class Sets:
@@ -124,6 +133,23 @@ class Sets:
             a, b, x, y = a[live], b[live], x[live], y[live]
             np.minimum.at(self.p, np.maximum(x, y), np.minimum(x, y))
 
+    def link(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Join by Boruvka rounds, nearest first; the indices of the pairs that joined two sets."""
+        used, key = [], d * (1 << 40) + np.arange(len(a))
+        top = np.iinfo(np.int64).max
+        while len(key):
+            at = key & ((1 << 40) - 1)
+            x, y = self.root(a[at]), self.root(b[at])
+            live = x != y
+            key, x, y = key[live], x[live], y[live]
+            best = np.full(len(self.p), top)
+            np.minimum.at(best, x, key)
+            np.minimum.at(best, y, key)
+            pick = np.unique(best[best < top]) & ((1 << 40) - 1)
+            self.join(a[pick], b[pick])
+            used.append(pick)
+        return np.concatenate(used) if used else np.zeros(0, np.int64)
+
     def root(self, a: np.ndarray) -> np.ndarray:
         x = self.p[a]
         while True:
@@ -133,71 +159,90 @@ class Sets:
             self.p[a], x = y, y
 
 
-def shard_links(node: np.ndarray, fp: np.ndarray, group: np.ndarray, query: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(node: np.ndarray, fp: np.ndarray, group: np.ndarray, query: np.ndarray, r: int, real: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (node, node) among fingerprints of each group within r. Rows with query False form the group's
-    tree; those with True only ask (a group may hold either or both kinds)."""
+    tree; those with True only ask (a group may hold either or both kinds). real: only pairs that lie within r."""
     tree_rows = np.flatnonzero(~query)
     if not len(tree_rows):
         return node[:0], node[:0]
     t = forest(fp[tree_rows], group[tree_rows])
-    root_of = dict(zip(group[tree_rows][t["roots"]].tolist(), t["roots"].tolist(), strict=True))
-    asks = np.flatnonzero(query) if query.any() else tree_rows
-    start = np.array([root_of.get(g, -1) for g in group[asks].tolist()], np.int64)
+    root_of = np.full(int(group.max()) + 1, -1)
+    root_of[group[tree_rows][t["roots"]]] = t["roots"]
+    asks = np.flatnonzero(query | ~np.isin(group, group[query]))  # a tree without asking rows asks itself
+    start = root_of[group[asks]]
     asks, start = asks[start >= 0], start[start >= 0]
     sets = Sets(len(node))
-    for q, x in walk(t, fp[tree_rows], fp[asks], start, r):
-        a, b = asks[q], tree_rows[x]
-        sets.join(a[a != b], b[a != b])
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(0, len(asks), STEP):
+        for q, x in walk(t, fp[tree_rows], fp[asks[i : i + STEP]], start[i : i + STEP], r):
+            a, b = asks[q + i], tree_rows[x]
+            other = a != b
+            a, b = a[other], b[other]
+            if real:
+                used = sets.link(a, b, np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64))
+                links.append((node[a[used]], node[b[used]]))
+            else:
+                sets.join(a, b)
+    if real:
+        return (np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links])) if links else (node[:0], node[:0])
     root = sets.root(np.arange(len(node)))
     moved = np.flatnonzero(root != np.arange(len(node)))
     return node[moved], node[root[moved]]
 
 
-def near_links(reps: DataFrame, radius: int = 4, shard: int = 8192) -> DataFrame:
-    """(a, b): links that span all pairs of reps(node, fp) within the radius. `shard` bounds a tree's nodes."""
-    blocks = radius + 1
+def block_choice(n: int, radius: int, most: int) -> int:
+    """The least j for which n fingerprints leave at most `most` to a value of j of radius + j blocks."""
+    j = 1
+    while j < 12 and n / 2 ** (64 * j / (radius + j)) > most:
+        j += 1
+    return j
+
+
+def near_links(reps: DataFrame, radius: int = 4, shard: int = 8192, count: int | None = None, real: bool = False) -> DataFrame:
+    """(a, b): links that span all pairs of reps(node, fp, lane) within the radius in a lane, by trees of at most about
+    `shard` nodes. Fingerprints are distinct in a lane. count: the number of fingerprints in a lane, if known."""
+    chosen = block_choice(count if count is not None else C.key_count(reps), radius, shard // 2)
+    blocks = radius + chosen
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    value = [F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(blocks)]
-    rows = reps.select("node", "fp", F.posexplode(F.array(*value)).alias("block", "value"))
-    sizes = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    part = [F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(blocks)]
+    value = [part[c[0]] if chosen == 1 else F.xxhash64(*[part[i] for i in c]) for c in combinations(range(blocks), chosen)]
+    rows = reps.select("node", "fp", "lane", F.posexplode(F.array(*value)).alias("block", "value"))
+    at = ["lane", "block", "value"]
+    sizes = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     k = F.ceil(F.col("n") / shard).cast("int")
-    dealt = rows.join(sizes, ["block", "value"]).select("node", "fp", "block", "value", k.alias("k"), F.pmod(F.xxhash64("fp"), k).cast("int").alias("own"))
-    # the shard's own tree, and as a query to the trees of all later shards of the value
-    sent = dealt.select("node", "fp", "block", "value", "own", F.explode(F.expr("sequence(0, own)")).alias("tree"))
-    sent = sent.select("node", "fp", "block", "value", "own", "tree")
-    # tree `t` is asked by shards t and above: pair (t, own)
-    trees = dealt.select("node", "fp", "block", "value", F.explode(F.expr("sequence(own, k - 1)")).alias("asker"), F.col("own").alias("tree"))
-    asks = sent.where("own > tree").select("node", "fp", "block", "value", F.col("own").alias("asker"), "tree")
-    both = trees.withColumn("query", F.lit(False)).unionByName(asks.withColumn("query", F.lit(True)))
-    keys = ["block", "value", "asker", "tree"]
+    dealt = rows.join(sizes, at).select("node", "fp", *at, k.alias("k"), F.pmod(F.xxhash64("fp"), k).cast("int").alias("own"))
+    # tree t of a value is asked by the value's shards t (itself) and above
+    trees = dealt.select("node", "fp", *at, F.explode(F.expr("sequence(own, k - 1)")).alias("asker"), F.col("own").alias("tree"), F.lit(False).alias("query"))
+    asks = dealt.select("node", "fp", *at, F.col("own").alias("asker"), F.explode(F.expr("sequence(0, own)")).alias("tree"), F.lit(True).alias("query"))
+    both = trees.unionByName(asks.where("asker > tree"))
+    keys = [*at, "asker", "tree"]
     n = C.n_shuffle(reps.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count = 0
+        size = 0
 
         def flush(b: pa.Table) -> pa.RecordBatch:
             cols = {c: np.asarray(b.column(c)) for c in ("node", "fp", *keys, "query")}
             change = np.zeros(b.num_rows, bool)
             for c in keys:
                 change[1:] |= cols[c][1:] != cols[c][:-1]
-            x, y = shard_links(cols["node"], cols["fp"].view(np.uint64), np.cumsum(change), cols["query"].astype(bool), radius)
+            x, y = shard_links(cols["node"], cols["fp"].view(np.uint64), np.cumsum(change), cols["query"].astype(bool), radius, real)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
         for batch in batches:
             held.append(batch)
-            count += batch.num_rows
-            if count >= 4 * shard:
+            size += batch.num_rows
+            if size >= 4 * shard:
                 table = pa.Table.from_batches(held).combine_chunks()
-                last = [table.column(c)[-1].as_py() for c in keys]
-                same = np.ones(table.num_rows, bool)
-                for c, v in zip(keys, last, strict=True):
-                    same &= np.asarray(table.column(c)) == v
-                cut = int(np.argmax(same))  # the last group may go on
+                last = np.ones(table.num_rows, bool)
+                for c in keys:
+                    last &= np.asarray(table.column(c)) == table.column(c)[-1].as_py()
+                cut = int(np.argmax(last))  # the last group may go on
                 if cut:
-                    yield flush(table.slice(0, cut))
-                held, count = table.slice(cut).to_batches(), table.num_rows - cut
-        if count:
+                    yield flush(table.slice(0, cut).combine_chunks())
+                held, size = table.slice(cut).to_batches(), table.num_rows - cut
+        if size:
             yield flush(pa.Table.from_batches(held).combine_chunks())
 
     dealt_out = both.repartition(n, *keys).sortWithinPartitions(*keys)
@@ -233,11 +278,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A fingerprint that only rows without an id have still needs a node; such nodes sort after all ids.
     lone = F.coalesce(F.min("id"), F.lit(2**63 - 1) - F.pmod(F.col("fp"), F.lit(2**62)))
     reps = C.materialize(prints.groupBy("fp").agg(lone.alias("node")), "reps")
-    roots = components(near_links(reps, radius, shard))
+    roots = components(near_links(reps.withColumn("lane", F.lit(0)), radius, shard))
     classes = reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
+def many_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int, wide_shingle: int, wide: int) -> DataFrame:
+    """(id, key, lanes, wide): independent fingerprints, and a hash of them all."""
+
+    def column(w: C.Words, v8: np.ndarray, k: int, n: int) -> np.ndarray:
+        first, last, off = C.shingles(w, k)
+        h = C.hash_ranges(v8, w.start[first], w.end[last] - w.start[first])
+        return np.stack([majority(C.mix(h + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))), off) for i in range(n)], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "text", 1 << 20):
+                w = C.Words(part.column("text"), lower=True)
+                v8 = C.load8(w.buf)
+                a, b = column(w, v8, shingle, lanes), column(w, v8, wide_shingle, wide)
+                key = np.zeros(len(a), np.uint64)
+                for x in [*a.T, *b.T]:
+                    key = C.mix(key * np.uint64(0x2545F4914F6CDD1D) + x)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64))) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(key.view(np.int64)), *lists], names=["id", "key", "lanes", "wide"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(run, "id long, key long, lanes array<long>, wide array<long>")
+
+
+def bits_at(similarity: float, bits: int) -> int:
+    """The differing bits, of `bits`, that two shingle bags of this Jaccard similarity are expected to have."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, candidate_shingle: int = 2, lanes: int = 8, wide: int = 16, radius: int = 4, shard: int = 8192
+) -> DataFrame:
+    """(id, component): one row per row of docs; ids are not null. Documents link if the similarity of their
+    `shingle`-word shingles is at least `similarity`, as told by the wide fingerprint."""
+    prints = C.materialize(many_fingerprints(docs, id_col, text_col, candidate_shingle, lanes, shingle, wide), "fingerprints")
+    nodes = C.materialize(prints.groupBy("key").agg(F.min("id").alias("node"), F.first("lanes").alias("lanes"), F.first("wide").alias("wide")), "nodes")
+    per_lane = nodes.select("node", F.posexplode("lanes").alias("lane", "fp"))
+    reps = C.materialize(per_lane.groupBy("lane", "fp").agg(F.min("node").alias("node")), "reps")
+    equal = per_lane.join(reps.withColumnRenamed("node", "b"), ["lane", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    near = near_links(reps, radius, shard, count=-(-C.key_count(reps) // lanes), real=True)
+    links = equal.unionByName(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}"))
+    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    good = links.join(side("a"), "a").join(side("b"), "b").where(differ <= bits_at(similarity, 64 * wide)).select("a", "b")
+    roots = components(good)
+    classes = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
+    return prints.select("id", "key").join(classes, "key").select("id", "component")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one document of each class of similar_documents(), the one with the smallest id (null: last). Of rows
+    with one id, one stays."""
+    (key,) = C.fresh(docs, "row_key")
+    marked = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1) - F.pmod(F.xxhash64(text_col), F.lit(2**62))))
+    classes = C.materialize(similar_documents(marked, key, text_col, **how), "classes")
+    stay = classes.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    once, more = (stay.where(w).select(F.col("id").alias(key)) for w in ("n = 1", "n > 1"))
+    return marked.join(once, key, "left_semi").unionByName(marked.join(more, key, "left_semi").dropDuplicates([key])).drop(key)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(C.read_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
