@@ -88,7 +88,7 @@ def set_tag(tags: Column, name: str, value: Column) -> Column:
 
 
 def copy_tag(to: Column, source: Column, name: str) -> Column:
-    """`to` with the tag as in `source`: replaced, or removed where `source` has none."""
+    """`to` with the tag of `source`, if that has one."""
     check_tag(name)
     rest = F.map_filter(to, lambda k, _: k != name)
     return F.when(F.map_contains_key(source, name), F.map_concat(rest, F.map_filter(source, lambda k, _: k == name))).otherwise(to)

@@ -48,7 +48,7 @@ def read_gene_table(spark: SparkSession, path: str) -> DataFrame:
     """(ord, read_id, gene) of a table of exactly two fields."""
     fields = F.split("line", "\t")
     bad = F.raise_error(F.concat(F.lit("a line must have two fields: "), F.col("line"))).cast("string")
-    return numbered_lines(spark, path).select(F.col("line_no").alias("ord"), F.when(F.size(fields) != 2, bad).otherwise(fields[0]).alias("read_id"), fields[1].alias("gene"))
+    return numbered_lines(spark, path).select(F.col("line_no").alias("ord"), F.when(F.size(fields) != 2, bad).otherwise(fields[0]).alias("read_id"), F.get(fields, F.lit(1)).alias("gene"))
 
 
 def read_transcript_map(spark: SparkSession, path: str, contigs: DataFrame | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def read_transcript_map(spark: SparkSession, path: str, contigs: DataFrame | Non
     lines = lines.crossJoin(F.broadcast(end)).where("(end is null or line_no < end) and not startswith(line, '#')")
     fields = F.split(F.rtrim("line"), "\t")
     bad = F.raise_error(F.concat(F.lit("a line must have two fields: "), F.col("line"))).cast("string")
-    pairs = lines.select("line_no", F.when(F.size(fields) != 2, bad).otherwise(fields[0]).alias("gene"), fields[1].alias("transcript"))
+    pairs = lines.select("line_no", F.when(F.size(fields) != 2, bad).otherwise(fields[0]).alias("gene"), F.get(fields, F.lit(1)).alias("transcript"))
     if contigs is not None:
         pairs = pairs.join(contigs.select(F.col("contig").alias("transcript")).distinct(), "transcript", "left_semi")
     first = pairs.groupBy("gene").agg(F.min("line_no").alias("gene_ord"))
