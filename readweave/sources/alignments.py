@@ -70,14 +70,14 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(~F.col("line").startswith("@")).select(
         F.col("line_no").alias("ord"),
         f[0].alias("qname"),
-        f[1].cast("int").alias("flag"),
+        f[1].try_cast("int").alias("flag"),
         star(f[2]).alias("rname"),
-        (f[3].cast("long") - 1).alias("pos"),
-        f[4].cast("int").alias("mapq"),
+        (f[3].try_cast("long") - 1).alias("pos"),
+        f[4].try_cast("int").alias("mapq"),
         star(f[5]).alias("cigar"),
         mate.alias("mate_rname"),
-        (f[7].cast("long") - 1).alias("mate_pos"),
-        f[8].cast("long").alias("tlen"),
+        (f[7].try_cast("long") - 1).alias("mate_pos"),
+        f[8].try_cast("long").alias("tlen"),
         star(f[9]).alias("seq"),
         star(f[10]).alias("qual"),
         pairs(2).alias("tags"),
