@@ -20,6 +20,25 @@ from ..functions import barcodes as B
 from ..functions import positions as P
 
 
+# The names of the counters of read triage.
+EVENTS = {
+    "input": "Input Reads",
+    "pairs": "Read pairs",
+    "unpaired": "Unpaired reads",
+    "both_unmapped": "Both unmapped",
+    "read1_unmapped": "Read 1 unmapped",
+    "single_unmapped": "Single end unmapped",
+    "read2_unmapped": "Read 2 unmapped",
+    "chimeric": "Chimeric read pair",
+    "excluded": "Randomly excluded",
+    "low_mapq": "< MAPQ threshold",
+    "no_barcode": "Read skipped, missing umi and/or cell tag",
+    "no_tag": "Read skipped, no tag",
+    "empty_gene": "Read skipped - gene string is empty",
+    "skipped_gene": "Read skipped - assigned tag matches skip_regex",
+}
+
+
 @dataclass(frozen=True)
 class BundleOptions:
     extract_method: str = "read_id"  # read_id, tag or labels
@@ -97,40 +116,40 @@ def triage(reads: DataFrame, o: BundleOptions, return_read2: bool = False, retur
         rules.append((when, event, F.lit(single) if isinstance(single, bool) else single, stop))
 
     if o.paired:
-        rule(paired, "Read pairs")
-        rule(~paired, "Unpaired reads", o.unpaired_reads == "output", o.unpaired_reads == "discard")
-        rule(unmapped & mate_un, "Both unmapped")
-        rule(unmapped & ~mate_un, "Read 1 unmapped")
+        rule(paired, EVENTS["pairs"])
+        rule(~paired, EVENTS["unpaired"], o.unpaired_reads == "output", o.unpaired_reads == "discard")
+        rule(unmapped & mate_un, EVENTS["both_unmapped"])
+        rule(unmapped & ~mate_un, EVENTS["read1_unmapped"])
     else:
-        rule(unmapped, "Single end unmapped")
-    rule(unmapped, "Input Reads" if return_unmapped else None, return_unmapped, True)
+        rule(unmapped, EVENTS["single_unmapped"])
+    rule(unmapped, EVENTS["input"] if return_unmapped else None, return_unmapped, True)
     if o.paired:
-        rule(mate_un, "Read 2 unmapped", o.unmapped_reads != "use" and return_unmapped, o.unmapped_reads != "use")
-    rule(paired & ~F.col("rname").eqNullSafe(F.col("mate_rname")), "Chimeric read pair", o.chimeric_pairs == "output", o.chimeric_pairs != "use")
+        rule(mate_un, EVENTS["read2_unmapped"], o.unmapped_reads != "use" and return_unmapped, o.unmapped_reads != "use")
+    rule(paired & ~F.col("rname").eqNullSafe(F.col("mate_rname")), EVENTS["chimeric"], o.chimeric_pairs == "output", o.chimeric_pairs != "use")
     if o.subset:
         share = F.pmod(F.xxhash64(F.lit(o.seed), F.col("ord")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-        rule(share >= o.subset, "Randomly excluded", stop=True)
+        rule(share >= o.subset, EVENTS["excluded"], stop=True)
     if o.mapping_quality:
-        rule(F.col("mapq") < o.mapping_quality, "< MAPQ threshold", stop=True)
+        rule(F.col("mapq") < o.mapping_quality, EVENTS["low_mapq"], stop=True)
     missing = umi.isNull() | (cell.isNull() if o.per_cell else no)
     if o.ignore_umi:
         if o.per_cell:
             cell = F.when(missing, F.raise_error(F.lit("a read has no barcode tag")).cast("string")).otherwise(cell)
         umi = F.lit("")
     else:
-        rule(missing, "Read skipped, missing umi and/or cell tag", stop=True)
+        rule(missing, EVENTS["no_barcode"], stop=True)
     gene = F.lit(None).cast("string")
     if o.per_gene and o.per_contig:
         gene = F.col("bundle_gene") if o.transcripts is not None else F.col("rname")
     elif o.per_gene:
         gene = F.col("tags")[o.gene_tag]
         assigned = F.col("tags")[o.assigned_tag or o.gene_tag]
-        rule(gene.isNull() | assigned.isNull(), "Read skipped, no tag", stop=True)
-        rule(gene == "", "Read skipped - gene string is empty", stop=True)
-        rule(assigned.rlike(o.skip_regex), "Read skipped - assigned tag matches skip_regex", stop=True)
+        rule(gene.isNull() | assigned.isNull(), EVENTS["no_tag"], stop=True)
+        rule(gene == "", EVENTS["empty_gene"], stop=True)
+        rule(assigned.rlike(o.skip_regex), EVENTS["skipped_gene"], stop=True)
 
     alive, events, single = ~P.has(f, "read2"), [], P.has(f, "read2") & F.lit(return_read2) & (~unmapped | F.lit(return_unmapped))
-    events.append(F.when(alive, F.lit("Input Reads")))
+    events.append(F.when(alive, F.lit(EVENTS["input"])))
     for when, event, passed, stop in rules:
         hit = alive & F.coalesce(when, no)
         if event:

@@ -85,7 +85,8 @@ def spread(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def label_bundle(umis: list[str], n: np.ndarray, first_ord: np.ndarray, method: str, threshold: int) -> pd.DataFrame:
+def group_bundle(umis: Sequence[str], n: np.ndarray, first_ord: np.ndarray, method: str, threshold: int) -> tuple[np.ndarray, ...]:
+    """(kept UMIs, and of each: rank, group_ix, its representative, group_n), as indices and numbers."""
     m = len(umis)
     rank = np.empty(m, np.int64)
     rank[np.lexsort((first_ord, -n))] = np.arange(m)
@@ -122,11 +123,15 @@ def label_bundle(umis: list[str], n: np.ndarray, first_ord: np.ndarray, method:
     text_at[by_text] = np.arange(m)
     final = text_at[top[group_ix]]
     total = np.bincount(group_ix, n, minlength=m).astype(np.int64)
-    out = pd.DataFrame({"umi": umis, "n": n, "first_ord": first_ord, "rank": rank, "group_ix": group_ix})
-    out["final_umi"] = [umis[i] for i in final]
-    out["is_top"] = final == np.arange(m)
-    out["group_n"] = total[group_ix]
-    return out[keep]
+    at = np.flatnonzero(keep)
+    return at, rank[at], group_ix[at], final[at], total[group_ix][at]
+
+
+def label_bundle(umis: Sequence[str], n: np.ndarray, first_ord: np.ndarray, method: str, threshold: int) -> pd.DataFrame:
+    """One bundle as a frame of LABELS."""
+    at, rank, group_ix, final, total = group_bundle(umis, n, first_ord, method, threshold)
+    text = np.array(umis, dtype=object)
+    return pd.DataFrame({"umi": text[at], "n": n[at], "first_ord": first_ord[at], "rank": rank, "group_ix": group_ix, "final_umi": text[final], "is_top": final == at, "group_n": total})
 
 
 LABELS = "umi string, n long, first_ord long, rank long, group_ix long, final_umi string, is_top boolean, group_n long"
@@ -143,19 +148,22 @@ def _label(bundles: DataFrame, keys: Sequence[str], method: str, threshold: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("umis")
-            ends = np.asarray(lists.offsets)
+            ends = np.asarray(lists.offsets).astype(np.int64)
             rows = lists.values
-            umis, n, first = rows.field("umi").to_pylist(), np.asarray(rows.field("n")), np.asarray(rows.field("first_ord"))
-            parts, at = [], []
-            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                part = label_bundle(umis[a:b], n[a:b], first[a:b], method, threshold)
-                parts.append(part)
-                at += [i] * len(part)
-            if not at:
-                continue
-            labels = pa.RecordBatch.from_pandas(pd.concat(parts), preserve_index=False)
-            rows_at = pa.array(at)
-            cols = {k: batch.column(k).take(rows_at) for k in keys} | dict(zip(labels.schema.names, labels.columns, strict=True))
+            n, first = np.asarray(rows.field("n")), np.asarray(rows.field("first_ord"))
+            size = np.diff(ends)
+            lone = ends[:-1][size == 1]  # bundles of one UMI, most of real data, need no graph
+            zero = np.zeros(len(lone), np.int64)
+            parts = [(np.flatnonzero(size == 1), lone, zero, zero, lone, n[lone])]
+            for i in np.flatnonzero(size > 1).tolist():
+                a, b = int(ends[i]), int(ends[i + 1])
+                at, rank, group_ix, final, total = group_bundle(rows.field("umi")[a:b].to_pylist(), n[a:b], first[a:b], method, threshold)
+                parts.append((np.full(len(at), i), at + a, rank, group_ix, final + a, total))
+            bundle, at, rank, group_ix, final, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+            text = rows.field("umi")
+            cols = {k: batch.column(k).take(pa.array(bundle)) for k in keys}
+            cols |= {"umi": text.take(pa.array(at)), "n": pa.array(n[at]), "first_ord": pa.array(first[at]), "rank": pa.array(rank), "group_ix": pa.array(group_ix)}
+            cols |= {"final_umi": text.take(pa.array(final)), "is_top": pa.array(final == at), "group_n": pa.array(total)}
             yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema], names=schema.names)
 
     return bundles.select(*keys, "umis").mapInArrow(run, schema)
@@ -176,7 +184,13 @@ def _near_pairs(counts: DataFrame, keys: Sequence[str], threshold: int) -> DataF
 
 
 def cluster_frames(counts: DataFrame, keys: Sequence[str], method: str, threshold: int) -> DataFrame:
-    """As cluster_local(), without gathering a bundle. Key columns must not be null."""
+    """As cluster_local(), without gathering a bundle."""
+    # a struct joins on all its fields, nulls included
+    packed = counts.select(F.struct(*keys).alias("bundle"), "umi", "n", "first_ord")
+    return _frames(packed, ["bundle"], method, threshold).select("bundle.*", "umi", "n", "first_ord", "rank", "group_ix", "final_umi", "is_top", "group_n")
+
+
+def _frames(counts: DataFrame, keys: Sequence[str], method: str, threshold: int) -> DataFrame:
     by = Window.partitionBy(*keys)
     base = counts.select(*keys, "umi", "n", "first_ord", (F.row_number().over(by.orderBy(F.desc("n"), "first_ord")) - 1).cast("long").alias("rank"))
     base = written(base.withColumn("text_rank", (F.row_number().over(by.orderBy(F.desc("n"), "umi")) - 1).cast("long")), "ranks")

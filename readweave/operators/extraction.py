@@ -18,6 +18,33 @@ from ..functions import barcodes as B
 from ..functions import fuzzy as Z
 
 
+# The names of the counters of barcode extraction.
+EVENTS = {
+    "input": "Input Reads",
+    "output": "Reads output",
+    "no_match1": "regex does not match read1",
+    "match1": "regex matches read1",
+    "no_match2": "regex does not match read2",
+    "match2": "regex matches read2",
+    "both_discarded": "regex matches both. discarded",
+    "both_read1": "regex matches both. read1 used",
+    "both_read2": "regex matches both. read2 used",
+    "only_read1": "regex only matches read1",
+    "only_read2": "regex only matches read2",
+    "low_quality": "filtered: umi quality",
+    "masked": "UMI masked",
+    "black": "Cell barcode in blacklist",
+    "cell_corrected": "False cell barcode. Error-corrected",
+    "cell_unknown": "Filtered cell barcode. Not correctable",
+    "cell_filtered": "Filtered cell barcode",
+    "corrected_to_black": "Cell barcode corrected to barcode blacklist",
+    "umi_corrected": "False UMI barcode. Error-corrected",
+    "umi_ambiguous": "False UMI barcode. Not correctable - within threshold to more than one whitelisted UMI",
+    "umi_unknown": "False UMI barcode. Not correctable - not within threshold to whitelisted UMI",
+    "umi_filtered": "Filtered umi barcode",
+}
+
+
 @dataclass(frozen=True)
 class ExtractOptions:
     pattern: str | None = None
@@ -114,7 +141,7 @@ def extract(reads: DataFrame, o: ExtractOptions, cells: "Lookup | None" = None,
         got1 = by_letters(r1, o.pattern, o.three_prime) if o.pattern else None
         got2 = by_letters(r2, o.pattern2, o.three_prime) if o.pattern2 and paired else None
         frame = reads.withColumn("ok", F.lit(not o.pattern2 or paired))
-        frame = frame.withColumn("events", _events((F.lit(True), "Input Reads")))
+        frame = frame.withColumn("events", _events((F.lit(True), EVENTS["input"])))
         frame = frame.withColumn("m1", F.struct(*[(got1[k] if got1 else none).alias(k) for k in fields]))
         frame = frame.withColumn("m2", F.struct(*[(got2[k] if got2 else none).alias(k) for k in fields]))
         both = {k: F.concat(*[F.coalesce(F.col(f"{m}.{k}"), F.lit("")) for m in ("m1", "m2")]) for k in ("umi", "cell", "umi_quals")}
@@ -129,20 +156,20 @@ def extract(reads: DataFrame, o: ExtractOptions, cells: "Lookup | None" = None,
         has1, has2 = F.col("f1").isNotNull(), F.col("f2").isNotNull()
         use1, use2 = F.lit(bool(o.pattern)), F.lit(bool(o.pattern2) and paired)
         go_on = has1 | ~use1 | F.lit(o.either_read)
-        tried = [(F.lit(True), "Input Reads"), (use1 & ~has1, "regex does not match read1"), (use1 & has1, "regex matches read1")]
-        tried += [(use2 & go_on & ~has2, "regex does not match read2"), (use2 & go_on & has2, "regex matches read2")]
+        tried = [(F.lit(True), EVENTS["input"]), (use1 & ~has1, EVENTS["no_match1"]), (use1 & has1, EVENTS["match1"])]
+        tried += [(use2 & go_on & ~has2, EVENTS["no_match2"]), (use2 & go_on & has2, EVENTS["match2"])]
         if o.either_read:
             quals = lambda m: F.array_min(B.qualities(F.col(f"{m}.umi_quals"), o.quality_encoding))
             one = has1 & has2
             first = F.coalesce(quals("m1") >= quals("m2"), F.lit(True)) if o.either_read_resolve == "quality" else F.lit(True)
             pick1 = (has1 & ~has2) | (one & first)
             if o.either_read_resolve == "discard":
-                tried.append((one, "regex matches both. discarded"))
+                tried.append((one, EVENTS["both_discarded"]))
                 ok = has1 != has2
             else:
-                tried += [(one & first, "regex matches both. read1 used"), (one & ~first, "regex matches both. read2 used")]
+                tried += [(one & first, EVENTS["both_read1"]), (one & ~first, EVENTS["both_read2"])]
                 ok = has1 | has2
-            tried += [(has1 & ~has2, "regex only matches read1"), (has2 & ~has1, "regex only matches read2")]
+            tried += [(has1 & ~has2, EVENTS["only_read1"]), (has2 & ~has1, EVENTS["only_read2"])]
             both = {k: F.when(pick1, F.col(f"m1.{k}")).otherwise(F.col(f"m2.{k}")) for k in ("umi", "cell", "umi_quals")}
             # the read keeps its bases if the other read matched as well
             changed1, changed2 = has1 & ~has2, has2 & ~has1
@@ -155,15 +182,15 @@ def extract(reads: DataFrame, o: ExtractOptions, cells: "Lookup | None" = None,
     more = lambda f, when, event: f.withColumn("events", F.when(when, F.array_append("events", F.lit(event))).otherwise(F.col("events")))
     if o.quality_filter_threshold is not None:
         low = F.col("ok") & B.any_below(F.col("umi_quals"), o.quality_encoding, o.quality_filter_threshold)
-        frame = more(frame.withColumn("low", low), F.col("low"), "filtered: umi quality").withColumn("ok", F.col("ok") & ~F.col("low")).drop("low")
+        frame = more(frame.withColumn("low", low), F.col("low"), EVENTS["low_quality"]).withColumn("ok", F.col("ok") & ~F.col("low")).drop("low")
     if o.quality_filter_mask is not None:
         frame = frame.withColumn("masked", B.mask_low(F.col("umi"), F.col("umi_quals"), o.quality_encoding, o.quality_filter_mask))
-        frame = more(frame, F.col("ok") & (F.col("masked") != F.col("umi")), "UMI masked").withColumn("umi", F.col("masked")).drop("masked")
+        frame = more(frame, F.col("ok") & (F.col("masked") != F.col("umi")), EVENTS["masked"]).withColumn("umi", F.col("masked")).drop("masked")
     if umis is not None:
         frame = umis.apply(frame, "umi")
     if cells is not None:
         frame = cells.apply(frame, "cell")
-    frame = more(frame, F.col("ok"), "Reads output")
+    frame = more(frame, F.col("ok"), EVENTS["output"])
     named = lambda r: add_to_name(r["identifier"], F.col("umi"), F.col("cell"), o.separator)
 
     def renamed(r: Column, m: str, changed: Column, name: Column) -> Column:
@@ -207,18 +234,18 @@ class Lookup:
         known, black, listed, true = (F.col(c) for c in ("known", "black", "listed", "true"))
         some = F.lit(self.corrections is not None)
         if self.kind == "cell":
-            event = F.when(black, "Cell barcode in blacklist").when(known, F.lit(None)).when(listed, "False cell barcode. Error-corrected").when(some, "Filtered cell barcode. Not correctable").otherwise("Filtered cell barcode")
+            event = F.when(black, EVENTS["black"]).when(known, F.lit(None)).when(listed, EVENTS["cell_corrected"]).when(some, EVENTS["cell_unknown"]).otherwise(EVENTS["cell_filtered"])
             stays = ~black & (known | listed)
         else:
-            event = F.when(known, F.lit(None)).when(true.isNotNull(), "False UMI barcode. Error-corrected").when(listed, "False UMI barcode. Not correctable - within threshold to more than one whitelisted UMI")
-            event = event.when(some, "False UMI barcode. Not correctable - not within threshold to whitelisted UMI").otherwise("Filtered umi barcode")
+            event = F.when(known, F.lit(None)).when(true.isNotNull(), EVENTS["umi_corrected"]).when(listed, EVENTS["umi_ambiguous"])
+            event = event.when(some, EVENTS["umi_unknown"]).otherwise(EVENTS["umi_filtered"])
             stays = known | true.isNotNull()
         frame = frame.withColumn("note", F.when(F.col("ok"), event)).withColumn("ok", F.col("ok") & stays)
         frame = frame.withColumn("events", F.when(F.col("note").isNotNull(), F.array_append("events", F.col("note"))).otherwise(F.col("events")))
         frame = frame.withColumn(column, F.when(known | true.isNull(), F.col(column)).otherwise(true)).drop("known", "black", "true", "listed", "note")
         if self.kind == "cell" and self.blacklist is not None:
             frame = self._mark(frame, column, self.blacklist, "black")
-            frame = frame.withColumn("events", F.when(F.col("ok") & F.col("black"), F.array_append("events", F.lit("Cell barcode corrected to barcode blacklist"))).otherwise(F.col("events")))
+            frame = frame.withColumn("events", F.when(F.col("ok") & F.col("black"), F.array_append("events", F.lit(EVENTS["corrected_to_black"]))).otherwise(F.col("events")))
             frame = frame.withColumn("ok", F.col("ok") & ~F.col("black")).drop("black")
         return frame
 

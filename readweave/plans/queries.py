@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import barcodes as B
 from ..functions import fuzzy as Z
 from ..functions import positions as P
+from ..functions import registry as G
 from ..operators import bundles as R
 from ..operators import clustering as K
 from ..operators import extraction as X
@@ -667,6 +668,47 @@ def tag_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.select("ord", F.col("t2")["NH"].alias("nh"), F.col("t2")["BX"].alias("bx"), copied["RX"].alias("copied"))
 
 
+@query(
+    f"WITH {duck('reads')} SELECT ord, hamming(umi, reverse(umi))::INT AS distance, floor(-ord / 7.0)::BIGINT AS quotient, substr(umi, 1, 3) AS first_block, substr(umi, 4, 2) AS second_block FROM reads"
+)
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions that a session can register for SQL."""
+    G.register(spark)
+    return view(spark, sf_dir, "reads").selectExpr(
+        "ord", "hamming_distance(umi, reverse(umi)) AS distance", "floor_div(-ord, 7) AS quotient", "block_part(umi, 0, 2) AS first_block", "block_part(umi, 1, 2) AS second_block"
+    )
+
+
+@query(f"WITH {duck('reads')} SELECT ord FROM reads WHERE ord < 500")
+def first_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.first_reads(view(spark, sf_dir, "reads").select("ord"), 500)
+
+
+@query(f"WITH {duck('reads')} SELECT ord FROM reads WHERE ord <= (SELECT ord FROM reads WHERE umi LIKE 'A%' ORDER BY ord LIMIT 1 OFFSET 40)")
+def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads up to the one after 40 matches."""
+    reads = view(spark, sf_dir, "reads").select("ord", F.col("umi").startswith("A").alias("matched"))
+    return L.subset_matched(reads, "matched", 40, paired=False).select("ord")
+
+
+@query(f"WITH {duck('reads')} SELECT ord FROM reads WHERE ord <= (SELECT min(ord) FROM reads WHERE umi LIKE 'A%' AND ord >= 40)")
+def first_matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs up to the first match after 40 pairs."""
+    reads = view(spark, sf_dir, "reads").select("ord", F.col("umi").startswith("A").alias("matched"))
+    return L.subset_matched(reads, "matched", 40, paired=True).select("ord")
+
+
+@query(
+    f"""{FQ}, {UMI_LISTS}, y AS (SELECT substr(seq, 3, 5) AS raw FROM fastq), z AS (SELECT raw, CASE WHEN raw IN (SELECT umi FROM w) THEN raw ELSE barcode END AS umi FROM y LEFT JOIN f ON error = raw)
+SELECT umi, count(*) FILTER (raw = umi) AS count_no_errors, count(*) FILTER (raw <> umi) AS count_errors FROM z WHERE umi IS NOT NULL GROUP BY umi"""
+)
+def umi_correction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([("AAAAA",), ("CCCCC",), ("ACGTA",)], "barcode string")
+    raw = raw_reads(spark, sf_dir)
+    out = X.extract(raw, X.ExtractOptions("CCNNNNN"), umis=X.Lookup("umi", listed, L.derive_errors(listed, 1))).where("kept").select("ord", "umi")
+    return X.correction_log(raw.select("ord", F.substring("read1.seq", 3, 5).alias("raw")).join(out, "ord"))
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
