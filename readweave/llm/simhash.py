@@ -340,7 +340,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = C.materialize(similar_documents(marked, key, text_col, **how), "classes")
     stay = classes.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     once, more = (stay.where(w).select(F.col("id").alias(key)) for w in ("n = 1", "n > 1"))
-    return marked.join(once, key, "left_semi").unionByName(marked.join(more, key, "left_semi").dropDuplicates([key])).drop(key)
+    # the list of those that stay grows with the corpus: the join is by key at every size, never a broadcast
+    one = marked.join(once.hint("merge"), key, "left_semi")
+    return one.unionByName(marked.join(more, key, "left_semi").dropDuplicates([key])).drop(key)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
