@@ -245,7 +245,8 @@ def near_links(reps: DataFrame, radius: int = 4, shard: int = 8192, count: int |
         if size:
             yield flush(pa.Table.from_batches(held).combine_chunks())
 
-    dealt_out = both.repartition(n, *keys).sortWithinPartitions(*keys)
+    # a total order, so that a lost task links the same pairs again
+    dealt_out = both.repartition(n, *keys).sortWithinPartitions(*keys, "query", "fp")
     return dealt_out.mapInArrow(run, "a long, b long").distinct()
 
 
