@@ -7,7 +7,8 @@ or with over 30 % of its words in 8-word windows found twice or more, fails.
 The field is trained here, by gradient ascent on its likelihood, on a bounded sample of labelled texts: the `most_docs`
 (documented bound: 1,000) labels of each class with the smallest seeded hash of the id, texts of over `most_lines` lines
 left out. The lines of a text labelled 1 count as content, those of one labelled 0 as boilerplate. Without labels of
-both classes, fixed starting weights are used. Rules and decoding cover every row and every whole text.
+both classes, fixed starting weights are used. As all lines of a training text share a mark, training would make marks
+stick without end, and one bad line would condemn a text; so the weight of staying is held to `most_stay`. Rules and decoding cover every row and every whole text.
 
 Edge cases. Null and blank texts have no words: base_failed, not kept. Only \\n splits lines; lines without a word carry
 no features and follow their neighbours. Repeated rows are judged each. Extra columns are kept unless named like a
@@ -29,7 +30,7 @@ from . import common as C
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
 FEATURES = ("bias", "symbols", "capitals", "digits", "bangs", "repeats", "long_words", "log_words")
 #: emission weights (content minus boilerplate) and transition weights (stay minus switch) before training
-START = np.array([2.0, -12.0, -6.0, -4.0, -10.0, -4.0, 0.0, 0.0, 1.0])
+START = np.array([2.0, -12.0, -6.0, -4.0, -10.0, -4.0, 0.0, 0.0, 0.5])
 
 _IS = np.zeros((6, 256), np.uint8)
 _IS[0, list(b"#*$%&|<>")] = 1
@@ -189,7 +190,7 @@ def _forward_backward(score: np.ndarray, line: np.ndarray, stay: float) -> tuple
     return np.exp(f[:, 1] + g[:, 1] - zl), same
 
 
-def train(x: np.ndarray, line: np.ndarray, label: np.ndarray, rounds: int = 120, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
+def train(x: np.ndarray, line: np.ndarray, label: np.ndarray, rounds: int = 120, rate: float = 0.3, decay: float = 1e-3, most_stay: float = 0.5) -> np.ndarray:
     """Weights (of FEATURES, then stay) by gradient ascent; both classes weigh the same."""
     w = START.copy()
     y = np.repeat(label, np.diff(line)).astype(float)
@@ -204,7 +205,7 @@ def train(x: np.ndarray, line: np.ndarray, label: np.ndarray, rounds: int = 120,
         grad = np.append(x.T @ ((y - p) * share) * 20, (pairs - same) / pairs) - decay * w
         speed = 0.9 * speed + grad
         w = w + rate * speed
-        w[-1] = min(max(w[-1], 0.0), 3.0)
+        w[-1] = min(max(w[-1], 0.0), most_stay)
     return w
 
 
