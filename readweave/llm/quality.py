@@ -223,8 +223,9 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
                 blobs = [t.x[a:b].astype(np.float32).tobytes() if b - a <= most_lines else None for a, b in zip(t.line[:-1].tolist(), t.line[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("q"), pa.array(blobs, pa.binary())], names=["id", "q", "x"])
 
-    got = rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("q", T.IntegerType()), T.StructField("x", T.BinaryType())])).where("x is not null").collect()
-    got = sorted({r["id"]: r for r in got}.values(), key=lambda r: r["id"])
+    features = rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("q", T.IntegerType()), T.StructField("x", T.BinaryType())])).where("x is not null")
+    # one row of an id, so that repeated rows neither reach the driver nor make the choice depend on the order of tasks
+    got = sorted(features.groupBy("id", "q").agg(F.min("x").alias("x")).collect(), key=lambda r: r["id"])
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(float) for r in got]
     x = np.concatenate(xs) if xs else np.zeros((0, len(FEATURES)))
     return x, np.concatenate([[0], np.cumsum([len(v) for v in xs])]).astype(np.int64), np.array([r["q"] for r in got])

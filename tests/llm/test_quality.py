@@ -75,3 +75,11 @@ def test_query(spark, tiny, documents):
         r = rows[d]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, *rest)
         assert r.base_failed == (n < 20 or 100 * rest[3] > 30 * n) and not (r.base_failed and r.kept)
+
+
+def test_repeated_ids_are_sampled_once(spark, make_docs):
+    docs = make_docs((1, "good words"), (1, "other words here"), (2, "bad $$$"), (2, "bad $$$"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
+    one, two = (Q.sample_features(d, labels, "doc_id", "text", 10, 400) for d in (docs, docs.orderBy("text", ascending=False)))
+    assert one[2].tolist() == [1, 0]
+    assert all((a == b).all() for a, b in zip(one, two, strict=True))
