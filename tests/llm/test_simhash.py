@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -108,3 +109,29 @@ def test_similar_documents(spark, make_docs, odd):
     assert {r.doc_id for r in kept.collect()} == {3, 7, 11, 900, 903, 905, 906, 907, None}
     assert "row_key" not in kept.columns
     assert S.drop_similar(make_docs()).count() == 0
+
+
+def test_shingle_similarity(odd):
+    rng = random.Random(2)
+    texts = [x for _, x in odd] + [" ".join(rng.choice("ab C") for _ in range(rng.randrange(40))) for _ in range(60)]
+    a, b = texts, texts[1:] + texts[:1]
+
+    def bag(x):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (x or "").replace("C", "c"))
+        return Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1))))
+
+    want = [sum((x & y).values()) / max(1, sum((x | y).values())) for x, y in zip(map(bag, a), map(bag, b), strict=True)]
+    assert np.allclose(S.shingle_similarity(pa.array(a), pa.array(b), 5), want)
+
+
+def test_texts_decide_near_the_threshold(spark, make_docs):
+    rng = random.Random(3)
+    voc = [f"w{i}" for i in range(5000)]
+    docs, want = [], {}
+    for n in range(12):
+        base = [rng.choice(voc) for _ in range(604)]  # 600 shingles
+        tail = base[: 604 - (66 if n % 2 else 67)]  # with as many words of its own, 534 or 533 of 666 or 667 are shared
+        docs += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(tail + [f"x{n}y{i}" for i in range(604 - len(tail))]))]
+        want |= {2 * n: 2 * n, 2 * n + 1: 2 * n if n % 2 else 2 * n + 1}
+    got = {r.id: r.component for r in S.similar_documents(make_docs(*docs), candidate_shingle=1, radius=12).collect()}
+    assert got == want
