@@ -11,11 +11,17 @@
    and leave the task as at most one (member, root) row per fingerprint: no pairs are emitted.
 5. Connected components over those rows by alternating large-star and small-star rounds, written to the shared folder.
 
-similar_documents() finds near copies by the similarity of five-word shingles. A 64-bit fingerprint of five-word shingles
-differs in ten bits at similarity 0.8, too many to search for, so candidates come from `lanes` independent fingerprints of
-two-word shingles (each searched as above; of pairs at 0.8 to 0.9, a lane finds 0.3 and twelve 0.98), as links that
-really lie within the radius. Each link is then told by a `wide`-word fingerprint of the five-word shingles: 1,024 bits
-give the similarity with a standard error of 0.025 at 0.8, and where they say 0.7 to 0.9 the texts themselves decide.
+similar_documents() finds all near copies by the similarity of bags of five-word shingles, in which repeats are told apart
+(shingle, occurrence), so that a bag is a set. Documents of equal bags are one node; texts decide every other link.
+1. SimHash: a 64-bit fingerprint of five-word shingles differs in ten bits at similarity 0.8, too many to search for, so
+   `lanes` independent fingerprints of two-word shingles are searched as above. Of each node the link that is nearest by a
+   `wide`-word fingerprint, and the one to the least node, are compared by their texts. This joins the bulk of large
+   classes and need not find every pair.
+2. Prefixes: texts of similarity s share one of the first n - ceil(s n) + 1 of their n shingles in any common order (here:
+   rarest first, by a sample). Links over shared prefix shingles that sizes and places do not rule out are thinned to a
+   forest, which only says which nodes belong to a clump: every pair of similarity s lies within one.
+3. In a clump whose nodes are not all joined by 1, the texts are compared pair by pair, less those joined already; large
+   clumps are dealt into shards. Only pairs compared by their texts are links of a class.
 
 Edge cases. Null, empty and blank texts have fingerprint zero and are linked like any other. A null id is kept, is never
 a representative if another member has an id, and gets the class of its fingerprint. Repeated rows stay. An empty table
@@ -284,12 +290,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
+def numbered(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Shingle hashes of documents off[d]:off[d + 1] with repeats told apart, ascending in each document, so that bags
+    become sets: (shingle, occurrence)."""
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((h, doc))
+    h = h[order]
+    head = np.ones(len(h), bool)
+    head[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(head)
+    again = np.arange(len(h)) - first[np.cumsum(head) - 1] if len(h) else np.zeros(0, np.int64)
+    return C.mix(h + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def bags_of(w: C.Words, v8: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbered k-word shingles of every document, and each document's offsets."""
+    first, last, off = C.shingles(w, k)
+    return numbered(C.hash_ranges(v8, w.start[first], w.end[last] - w.start[first]), off), off
+
+
+def bag_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A hash of each bag of numbered shingles: equal for texts of similarity 1 only."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(h), dtype=np.uint64)])
+    return C.mix(total[off[1:]] - total[off[:-1]] + np.diff(off).astype(np.uint64)).view(np.int64)
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): what tells rows apart is the id and the hash of the text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
 def many_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int, wide_shingle: int, wide: int) -> DataFrame:
-    """(id, key, lanes, wide): independent fingerprints, and a hash of them all."""
+    """(id, h, key, lanes, wide): independent fingerprints of numbered shingles, and the key of the bag of
+    `wide_shingle`-word shingles."""
 
-    def column(w: C.Words, v8: np.ndarray, k: int, n: int) -> np.ndarray:
-        first, last, off = C.shingles(w, k)
-        h = C.hash_ranges(v8, w.start[first], w.end[last] - w.start[first])
+    def column(h: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
         return np.stack([majority(C.mix(h + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))), off) for i in range(n)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,15 +333,12 @@ def many_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int,
             for part in C.slices(batch, "text", 1 << 20):
                 w = C.Words(part.column("text"), lower=True)
                 v8 = C.load8(w.buf)
-                a, b = column(w, v8, shingle, lanes), column(w, v8, wide_shingle, wide)
-                key = np.zeros(len(a), np.uint64)
-                for x in [*a.T, *b.T]:
-                    key = C.mix(key * np.uint64(0x2545F4914F6CDD1D) + x)
+                h, off = bags_of(w, v8, wide_shingle)
+                a, b = column(*bags_of(w, v8, shingle), lanes), column(h, off, wide)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64))) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(key.view(np.int64)), *lists], names=["id", "key", "lanes", "wide"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(bag_keys(h, off)), *lists], names=["id", "h", "key", "lanes", "wide"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "id long, key long, lanes array<long>, wide array<long>")
+    return rows_of(docs, id_col, text_col).mapInArrow(run, "id long, h long, key long, lanes array<long>, wide array<long>")
 
 
 def bits_at(similarity: float, bits: int) -> int:
@@ -331,13 +364,11 @@ def shingle_similarity(a: pa.Array, b: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int) -> DataFrame:
-    """The links (a, b), ids, whose texts have the similarity. Of texts with one id the least is compared."""
+def verified(links: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The links (a, b), nodes, whose texts have the similarity."""
     links = C.materialize(links, "unsure")
-    asked = C.materialize(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = C.materialize(own.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    texts = C.materialize(texts_of(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows), "texts")
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,7 +379,207 @@ def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
     return links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(
+def texts_of(asked: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of the nodes asked for."""
+    own = nodes.join(asked.select("node"), "node", "left_semi").select("node", "row.id", "row.h")
+    found = rows.join(own, ["id", "h"]).groupBy("node").agg(F.first("text").alias("text"))
+    return found.select("node", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def common_shingles(rows: DataFrame, count: int, shingle: int, sample: int = 10_000, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that occur again in a sample of the documents, ascending, and their counts there. They only
+    set the order of prefixes, for which any order is lossless."""
+    limit = np.uint64(min(1 << 32, (sample << 32) // max(count, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "text", 1 << 20):
+                pick = (C.mix(np.asarray(part.column("h")).view(np.uint64)) >> np.uint64(32)) < limit
+                part = part.filter(pa.array(pick))
+                w = C.Words(part.column("text"), lower=True)
+                h, _ = bags_of(w, C.load8(w.buf), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["token"])
+
+    counts = rows.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    got = counts.orderBy(F.desc("n"), "token").limit(most).toArrow()
+    token, n = np.asarray(got.column("token")).view(np.uint64), np.asarray(got.column("n"))
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float, shingle: int) -> DataFrame:
+    """(token, node, n, at): of each text's n numbered shingles, rarest first, the first n - ceil(similarity * n) + 1.
+    Texts of at least this similarity have one of these in common: each shares all but that many less one of its own."""
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, count = shared.value
+        for batch in batches:
+            for part in C.slices(batch, "text", 1 << 20):
+                w = C.Words(part.column("text"), lower=True)
+                h, off = bags_of(w, C.load8(w.buf), shingle)
+                key = bag_keys(h, off)
+                rank = np.zeros(len(h), np.int64)
+                if len(token) and len(h):
+                    place = np.minimum(np.searchsorted(token, h), len(token) - 1)
+                    rank = np.where(token[place] == h, count[place], 0)
+                n = np.diff(off)
+                doc = np.repeat(np.arange(len(n)), n)
+                h = h[np.lexsort((h, rank, doc))]
+                at = np.arange(len(h)) - off[:-1][doc]
+                take = at <= (n - np.ceil(similarity * n - 1e-9).astype(np.int64))[doc]
+                # equal texts of a batch have equal prefixes
+                once = np.zeros(len(n), bool)
+                once[np.unique(key, return_index=True)[1]] = True
+                take &= once[doc]
+                h, doc, at = h[take], doc[take], at[take]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[doc]), pa.array(n[doc].astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "node", "n", "at"])
+
+    return rows.mapInArrow(run, "token long, node long, n int, at int")
+
+
+def prefix_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) with a token in common (equal tokens adjoin) that their sizes and places do not rule out. Of a token
+    with more than `most` rows, a star, which joins more than it must."""
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(token)]]))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for s in np.unique(size[size > 1]).tolist():
+        heads = first[size == s]
+        i, j = np.triu_indices(s, 1) if s <= most else (np.zeros(s - 1, np.int64), np.arange(1, s))
+        step = max(1, (1 << 20) // len(i))
+        for k in range(0, len(heads), step):
+            x, y = (heads[k : k + step, None] + i).ravel(), (heads[k : k + step, None] + j).ravel()
+            if s <= most:
+                # shared before, here, and after this place, at most; what the similarity needs, at least
+                top = np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])
+                fit = (node[x] != node[y]) & (top * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-6)
+                x, y = x[fit], y[fit]
+            out.append((x, y))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """At most one (member, root) a node for the links (a, b)."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    sets = Sets(len(node))
+    sets.join(at[: len(a)], at[len(a) :])
+    root = sets.root(np.arange(len(node)))
+    moved = np.flatnonzero(root != np.arange(len(node)))
+    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"])
+
+
+def prefix_links(tokens: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that span all pairs of nodes that may have the similarity, by prefixes()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size, big = 0, None  # big: token and first node of a group too large to hold
+
+        def flush(end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, big
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            a = b = np.zeros(0, np.int64)
+            if big is not None:
+                k = int(np.searchsorted(cols[0], big[0], side="right"))
+                a, b = cols[1][:k], np.full(k, big[1])
+                cols = [c[k:] for c in cols]
+            cut = len(cols[0]) if end or not len(cols[0]) else int(np.searchsorted(cols[0], cols[0][-1]))
+            if len(cols[0]):
+                big = None
+            x, y = prefix_pairs(*(c[:cut] for c in cols), similarity)
+            a, b = np.concatenate([a, cols[1][x]]), np.concatenate([b, cols[1][y]])
+            rest = [c[cut:] for c in cols]
+            if len(rest[0]) > 1 << 16:
+                big = rest[0][0], rest[1][0]
+                a, b = np.concatenate([a, rest[1]]), np.concatenate([b, np.full(len(rest[1]), big[1])])
+                rest = [c[:0] for c in rest]
+            held, size = [tuple(rest)], len(rest[0])
+            yield spanning(a, b)
+
+        for batch in batches:
+            held.append(tuple(np.asarray(batch.column(c)) for c in ("token", "node", "n", "at")))
+            size += batch.num_rows
+            if size >= 1 << 17:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return tokens.repartition(C.n_shuffle(tokens.sparkSession), "token").sortWithinPartitions("token", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def exact_links(texts: pa.Array, root: np.ndarray, asks: np.ndarray, own: bool, similarity: float, shingle: int) -> list[tuple[int, int]]:
+    """Links that, with those within a root, span all pairs of rows of this similarity: of all rows, or (not own) of
+    those with asks True to the others."""
+    w = C.Words(texts, lower=True)
+    h, off = bags_of(w, C.load8(w.buf), shingle)
+    n, m = np.diff(off), len(off) - 1
+    doc = np.repeat(np.arange(m), n)
+    order = np.argsort(h, kind="stable")
+    token = np.cumsum(np.concatenate([[False], h[order][1:] != h[order][:-1]]))
+    lists, at = doc[order], np.searchsorted(token, np.arange(int(token[-1]) + 2)) if len(h) else np.zeros(2, np.int64)
+    name = np.empty(len(h), np.int64)
+    name[order] = token[: len(h)]
+    _, label = np.unique(root, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    for i in range(m) if own else np.flatnonzero(asks).tolist():
+        open_ = label != label[i]
+        open_ &= np.arange(m) > i if own else ~asks
+        if not open_.any():
+            continue
+        t = name[off[i] : off[i + 1]]
+        size = at[t + 1] - at[t]
+        where = np.repeat(at[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.bincount(lists[where], minlength=m)
+        for j in np.flatnonzero(open_ & (both / np.maximum(n[i] + n - both, 1) >= similarity)).tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def clump_links(members: DataFrame, texts: DataFrame, similarity: float, shingle: int, shard: int = 512, shard_bytes: int = 8 << 20) -> DataFrame:
+    """(a, b): of members(node, root, clump), links by which all pairs of a clump with the similarity are in one
+    component, given those of the roots. A large clump is dealt into shards, and every pair of shards is a group."""
+    own = C.materialize(members.join(texts, "node"), "clumps")
+    sizes = own.groupBy("clump").agg(F.greatest(F.ceil(F.count(F.lit(1)) / shard), F.ceil(F.sum(F.octet_length("text")) / shard_bytes), F.lit(1)).cast("int").alias("k"))
+    dealt = own.join(sizes, "clump").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    group = F.explode(F.expr("transform(sequence(0, k - 1), x -> struct(least(x, own) as lo, greatest(x, own) as hi))"))
+    rows = dealt.withColumn("pair", group).select("clump", "pair.lo", "pair.hi", "own", "node", "root", "text")
+    keys = ["clump", "lo", "hi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush() -> pa.RecordBatch:
+            b = pa.Table.from_batches(held).combine_chunks()
+            node, lo, hi = (np.asarray(b.column(c)) for c in ("node", "lo", "hi"))
+            found = exact_links(b.column("text").combine_chunks(), np.asarray(b.column("root")), np.asarray(b.column("own")) == lo[0], lo[0] == hi[0], similarity, shingle)
+            return pa.RecordBatch.from_arrays([pa.array([node[x] for x, _ in found], pa.int64()), pa.array([node[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            cols = [np.asarray(batch.column(c)) for c in keys]
+            change = np.zeros(batch.num_rows, bool)
+            for c in cols:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                now = tuple(int(c[x]) for c in cols)
+                if held and now != last:
+                    yield flush()
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = now
+        if held:
+            yield flush()
+
+    return rows.repartition(C.n_shuffle(members.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
+
+
+def similar_rows(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -361,11 +592,11 @@ def similar_documents(
     radius: int = 4,
     shard: int = 8192,
 ) -> DataFrame:
-    """(id, component): one row per row of docs; ids are not null. Documents link if the similarity of their
-    `shingle`-word shingles is at least `similarity`: as told by the wide fingerprint where that is more than `margin`
-    away, else by the texts."""
+    """(id, h, root): one row per row of docs with the hash of its text and its class."""
+    rows = rows_of(docs, id_col, text_col)
     prints = C.materialize(many_fingerprints(docs, id_col, text_col, candidate_shingle, lanes, shingle, wide), "fingerprints")
-    nodes = C.materialize(prints.groupBy("key").agg(F.min("id").alias("node"), F.first("lanes").alias("lanes"), F.first("wide").alias("wide")), "nodes")
+    nodes = C.materialize(prints.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("id", "h")).alias("row"), F.first("lanes").alias("lanes"), F.first("wide").alias("wide")), "nodes")
+    # SimHash: links that join the bulk of large classes; whatever it misses or thins out is left to the prefixes
     per_lane = nodes.select("node", F.posexplode("lanes").alias("lane", "fp"))
     reps = C.materialize(per_lane.groupBy("lane", "fp").agg(F.min("node").alias("node")), "reps")
     equal = per_lane.join(reps.withColumnRenamed("node", "b"), ["lane", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b")
@@ -373,26 +604,44 @@ def similar_documents(
     links = equal.unionByName(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}"))
     differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    told = C.materialize(links.join(side("a"), "a").join(side("b"), "b").select("a", "b", differ.alias("bits")), "links")
-    sure, never = bits_at(min(1.0, similarity + margin), 64 * wide), bits_at(max(0.0, similarity - margin), 64 * wide)
-    unsure = told.where((F.col("bits") > sure) & (F.col("bits") <= never)).select("a", "b").distinct()
-    good = told.where(F.col("bits") <= sure).select("a", "b").unionByName(verified(unsure, docs, id_col, text_col, similarity, shingle))
+    told = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", differ.alias("bits"))
+    hopeful = told.where(F.col("bits") <= bits_at(max(0.0, similarity - margin), 64 * wide))
+    best = hopeful.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x"), F.min("b").alias("y"))
+    good = C.materialize(verified(best.select("a", F.explode(F.array_distinct(F.array("x.b", "y"))).alias("b")), nodes, rows, similarity, shingle), "good")
     roots = components(good)
-    classes = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
-    return prints.select("id", "key").join(classes, "key").select("id", "component")
+    # prefixes: every pair of the similarity lies within a clump; clumps of several roots are compared by the texts
+    common = common_shingles(rows, C.key_count(prints), shingle)
+    maybe = prefix_links(prefixes(rows, common, similarity, shingle), similarity)
+    clumps = components(maybe.unionByName(good)).withColumnRenamed("root", "clump")
+    # the root of a clump has no row of its own
+    placed = clumps.unionByName(clumps.select(F.col("clump").alias("node"), "clump").distinct()).distinct()
+    placed = C.materialize(placed.join(roots, "node", "left").select("node", "clump", F.coalesce("root", "node").alias("root")), "placed")
+    mixed = placed.groupBy("clump").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("clump")
+    members = C.materialize(placed.join(mixed, "clump", "left_semi"), "members")
+    more = clump_links(members, texts_of(members, nodes, rows), similarity, shingle)
+    final = components(good.unionByName(more))
+    return prints.select("id", "h", F.col("key").alias("node")).join(final, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, component): one row per row of docs, with the smallest id of its class; ids are not null. Documents link if
+    the similarity of their `shingle`-word shingles is at least `similarity`, as told by the texts."""
+    rows = C.materialize(similar_rows(docs, id_col, text_col, **how), "classes")
+    return rows.join(rows.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each class of similar_documents(), the one with the smallest id (null: last). Of rows
-    with one id, one stays."""
-    (key,) = C.fresh(docs, "row_key")
-    marked = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1) - F.pmod(F.xxhash64(text_col), F.lit(2**62))))
-    classes = C.materialize(similar_documents(marked, key, text_col, **how), "classes")
-    stay = classes.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    once, more = (stay.where(w).select(F.col("id").alias(key)) for w in ("n = 1", "n > 1"))
+    """docs with one document of each class of similar_documents(), the one with the smallest id (null: last; of one id,
+    the least hash of the text)."""
+    key, h = C.fresh(docs, "row_key", "row_hash")
+    text = F.col(text_col).cast("string")
+    marked = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1) - F.pmod(F.xxhash64(text), F.lit(2**62)))).withColumn(h, F.xxhash64(text))
+    classes = similar_rows(marked, key, text_col, **how).groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n"))
+    stay = C.materialize(classes.groupBy("root").agg(F.min(F.struct("id", "h", "n")).alias("x")).select("x.*"), "classes")
+    once, more = (stay.where(w).select(F.col("id").alias(key), F.col("h").alias(h)) for w in ("n = 1", "n > 1"))
     # the list of those that stay grows with the corpus: the join is by key at every size, never a broadcast
-    one = marked.join(once.hint("merge"), key, "left_semi")
-    return one.unionByName(marked.join(more, key, "left_semi").dropDuplicates([key])).drop(key)
+    one = marked.join(once.hint("merge"), [key, h], "left_semi")
+    return one.unionByName(marked.join(more, [key, h], "left_semi").dropDuplicates([key, h])).drop(key, h)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,52 @@ def test_texts_decide_near_the_threshold(spark, make_docs):
         want |= {2 * n: 2 * n, 2 * n + 1: 2 * n if n % 2 else 2 * n + 1}
     got = {r.id: r.component for r in S.similar_documents(make_docs(*docs), candidate_shingle=1, radius=12).collect()}
     assert got == want
+
+
+def groups(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.component, set()).add(r.id)
+    return sorted(map(sorted, out.values()))
+
+
+def similar_classes(docs, least=0.8):
+    bags = {}
+    for d, x in docs:
+        w = x.lower().split()
+        bags[d] = Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1))))
+    root = {d: d for d in bags}
+    for a in bags:
+        for b in bags:
+            if a < b and root[a] != root[b]:
+                low = sum((bags[a] & bags[b]).values())
+                if low / (sum(bags[a].values()) + sum(bags[b].values()) - low) >= least:
+                    old, new = max(root[a], root[b]), min(root[a], root[b])
+                    root = {d: new if r == old else r for d, r in root.items()}
+    out = {}
+    for d, r in root.items():
+        out.setdefault(r, set()).add(d)
+    return sorted(map(sorted, out.values()))
+
+
+def star(rng, n, words=300, edits=5):
+    """Copies of one text, each similar to it and to no other copy."""
+    base = [f"w{rng.randrange(4000)}" for _ in range(words)]
+    docs = [base]
+    for c in range(n):
+        w = list(base)
+        for e in range(edits):
+            at = rng.randrange(e * words // edits + 5, (e + 1) * words // edits - 5)
+            w[at] = f"c{c}e{e}"
+        docs.append(w)
+    return docs
+
+
+def test_copies_similar_only_to_the_original(spark, make_docs):
+    rng = random.Random(11)
+    docs = [(i, " ".join(w)) for i, w in enumerate(star(rng, 200, edits=6)[::-1])]  # the original is last
+    want = similar_classes(docs)
+    assert len(want) == 1
+    assert groups(S.similar_documents(make_docs(*docs)).collect()) == want
+    alone = docs[:-1]  # without it
+    assert groups(S.similar_documents(make_docs(*alone)).collect()) == similar_classes(alone)
