@@ -184,3 +184,15 @@ def test_copies_similar_only_to_the_original(spark, make_docs):
     assert groups(S.similar_documents(make_docs(*docs)).collect()) == want
     alone = docs[:-1]  # without it
     assert groups(S.similar_documents(make_docs(*alone)).collect()) == similar_classes(alone)
+
+
+def test_block_edits_at_the_threshold(spark, make_docs):
+    rng = random.Random(12)
+    docs = []
+    for i in range(60):
+        w = [f"w{rng.randrange(5000)}" for _ in range(404)]
+        cut = [w[:324], w[80:], w + [f"n{i}x{j}" for j in range(100)]][i % 3]  # similarity 0.8
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(cut))]
+    want = [[2 * i, 2 * i + 1] for i in range(60)]
+    assert similar_classes(docs) == want
+    assert groups(S.similar_documents(make_docs(*docs)).collect()) == want
