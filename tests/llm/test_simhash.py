@@ -196,3 +196,15 @@ def test_block_edits_at_the_threshold(spark, make_docs):
     want = [[2 * i, 2 * i + 1] for i in range(60)]
     assert similar_classes(docs) == want
     assert groups(S.similar_documents(make_docs(*docs)).collect()) == want
+
+
+def test_a_repeated_line_is_no_similarity(spark, make_docs):
+    rng = random.Random(13)
+    line = [f"l{j}" for j in range(9)]
+    docs = []
+    for i in range(6):
+        own = [f"d{i}w{rng.randrange(10**6)}" for _ in range(2800)]
+        parts = [own[j : j + 21] for j in range(0, len(own), 21)]
+        docs.append((i, " ".join(" ".join(p + line) for p in parts)))
+    assert similar_classes(docs) == [[i] for i in range(6)]
+    assert groups(S.similar_documents(make_docs(*docs)).collect()) == [[i] for i in range(6)]
