@@ -6,6 +6,8 @@ are computed (a lossless cut). Fingerprints meet the items of their length throu
 bits, of which at least one is equal for any pair within the radius. Pairs within the radius are verified by the exact
 similarity of their shingles weighted by multiplicity: sum of minima over sum of maxima.
 
+A document with fewer words than an item is one window, the whole of it.
+
 At similarity 0.8 a fingerprint bit differs with probability 0.15, so of 64 bits 10 differ, standard deviation 3; the
 radius of 20 misses fewer than one in 10,000 such pairs.
 
@@ -151,11 +153,25 @@ def leaks(col: pa.Array, bench: Benchmark, threshold: float) -> list[list[dict]]
         maybe = np.flatnonzero(hit[(h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
         hits[k] = (h, maybe[known[at] == h[maybe]])
-    best: dict[tuple[int, int, int], tuple[float, int]] = {}
+    best: dict[tuple[int, int, int], tuple[float, int, int]] = {}
     for n, g in bench.groups.items():
         h, at = hits[g["k"]]
         at = at[np.isin(h[at], g["shingles"])] if len(at) else at
-        if not len(at) or len(names) < n:
+        if not len(at):
+            continue
+        # a document shorter than the item is one window, if it has enough shingles for the threshold
+        near = np.unique(doc_of[at])
+        own = w.size()[near]
+        near = near[(own < n) & (own - g["k"] + 1 >= threshold * g["m"] - 1e-9)]
+        for words in np.unique(w.size()[near]).tolist():
+            short = near[w.size()[near] == words]
+            first = w.doc[short]
+            q, item = g["index"].pairs(window_prints(h, first, words - g["k"] + 1))
+            for p, i in zip(first[q].tolist(), item.tolist(), strict=True):
+                s = similarity(bag(w, p, words, g["k"]), g["bags"][i])
+                if s >= threshold:
+                    best[int(doc_of[p]), n, i] = (s, 0, words)
+        if len(names) < n:
             continue
         reach = np.zeros(len(names) + 1, np.int64)
         np.add.at(reach, np.maximum(at - g["m"] + 1, 0), 1)
@@ -171,10 +187,10 @@ def leaks(col: pa.Array, bench: Benchmark, threshold: float) -> list[list[dict]]
                 bags = {p: bag(w, p, n, g["k"])}
             s = similarity(bags[p], g["bags"][i])
             key = (int(doc_of[p]), n, i)
-            if s >= threshold and s > best.get(key, (0.0, 0))[0]:
-                best[key] = (s, p - int(w.doc[doc_of[p]]))
-    for (d, n, i), (s, p) in best.items():
-        out[d].append({"item_id": bench.groups[n]["ids"][i], "similarity": s, "start_word": p, "n_words": n})
+            if s >= threshold and s > best.get(key, (0.0, 0, 0))[0]:
+                best[key] = (s, p - int(w.doc[doc_of[p]]), n)
+    for (d, n, i), (s, p, words) in best.items():
+        out[d].append({"item_id": bench.groups[n]["ids"][i], "similarity": s, "start_word": p, "n_words": words})
     for x in out:
         x.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["start_word"]))
     return out

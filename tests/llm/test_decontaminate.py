@@ -84,3 +84,14 @@ def test_query(spark, tiny, documents):
         if any(g in shared for g in bag(low(x))):
             want |= {(d, i, p) for i, _, p in brute(x, items)}
     assert {(r.doc_id, r.item_id, r.start_word) for r in D.op3_decontamination(spark, tiny).collect()} == want
+
+
+def test_document_shorter_than_the_item():
+    rng = random.Random(5)
+    item = [f"w{rng.randrange(500)}" for _ in range(60)]
+    bench = D.Benchmark([1], [" ".join(item)], 5, 20)
+    docs = [" ".join(item[:55]), " ".join(item[3:]), "other words", " ".join(item[:45]), " ".join(item[:20]), None]
+    want = [[(1, 51 / 56, 0, 55)], [(1, 53 / 56, 0, 57)], [], [], [], []]
+    for batch in (docs, docs[:1]):
+        got = D.leaks(pa.array(batch), bench, 0.8)
+        assert [[(r["item_id"], r["similarity"], r["start_word"], r["n_words"]) for r in g] for g in got] == want[: len(batch)]
