@@ -208,3 +208,11 @@ def test_a_repeated_line_is_no_similarity(spark, make_docs):
         docs.append((i, " ".join(" ".join(p + line) for p in parts)))
     assert similar_classes(docs) == [[i] for i in range(6)]
     assert groups(S.similar_documents(make_docs(*docs)).collect()) == [[i] for i in range(6)]
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark, make_docs):
+    rng = random.Random(14)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(100))
+    a, b, c = text(), text(), text()
+    rows = S.drop_similar(make_docs((1, a), (1, b), (1, a), (2, c), (3, b))).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted([(1, a), (1, b), (2, c)])
