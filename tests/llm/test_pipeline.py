@@ -1,11 +1,13 @@
 """The pipeline against brute force on the smallest tables."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as P
 from readweave.llm import quality
 
 from .test_decontaminate import bag, brute, low
+from .test_simhash import similar_classes, star
 
 
 def test_stages(spark, tiny):
@@ -50,3 +52,15 @@ def test_stages(spark, tiny):
 
 def test_run(spark, tiny):
     assert P.run(spark, tiny).count() > 0
+
+
+def test_near_duplicate_stage_against_brute_force(spark, make_docs, tiny):
+    rng = random.Random(21)
+    docs = [(i, " ".join(w)) for i, w in enumerate(star(rng, 40, edits=6)[::-1])]
+    for i in range(100, 130, 2):
+        w = [f"b{rng.randrange(5000)}" for _ in range(404)]
+        docs += [(i, " ".join(w)), (i + 1, " ".join(w[: 324 if i % 4 else 323]))]  # similarity 0.8 and just below
+    line = " ".join(f"l{j}" for j in range(9))
+    docs += [(200 + i, " ".join(f"{line} " + " ".join(f"r{i}x{rng.randrange(10**6)}" for _ in range(21)) for _ in range(100))) for i in range(4)]
+    kept = {r.doc_id for r in P.near_duplicate_stage(spark, make_docs(*docs), tiny).collect()}
+    assert kept == {c[0] for c in similar_classes(docs)}
