@@ -7,7 +7,7 @@ with numpy; none loops over characters in Python.
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,30 +24,59 @@ U = np.uint64
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one if driver
+    and executors are one process (local master); an error otherwise, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} share")
         base = tempfile.mkdtemp(prefix="readweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-        import shutil
-
         atexit.register(shutil.rmtree, base, True)
     return base.rstrip("/")
 
 
+#: working tables that are not deleted yet, oldest first
+_TABLES: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors. The table stays
+    until drop_table() or clear(), as the frames that read it are evaluated later."""
     path = f"{work_dir(df.sparkSession)}/readweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by materialize(), once nothing reads it any more."""
     spark = df.sparkSession
     for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        name = f.rsplit("/", 1)[0]
+        _delete(spark, name)
+        _TABLES[:] = [t for t in _TABLES if t.rsplit("/", 1)[1] != name.rsplit("/", 1)[1]]
+
+
+def tables() -> int:
+    """How many working tables there are: a mark for clear()."""
+    return len(_TABLES)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the working tables made after the mark `since` (default: all), but keep's. To be called when every result
+    that reads them has been written."""
+    kept = {f.rsplit("/", 2)[1] for f in keep.inputFiles()[:1]} if keep is not None else set()
+    for name in _TABLES[since:]:
+        if name.rsplit("/", 1)[1] not in kept:
+            _delete(spark, name)
+    _TABLES[since:] = [t for t in _TABLES[since:] if t.rsplit("/", 1)[1] in kept]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -230,5 +259,23 @@ def ends_with(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[
         yield b.cast(schema) if b.schema != schema else b
 
 
+def order_by(doc: np.ndarray, h: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """The order by (doc, rank, h), by one sort of a packed key; where the packing has ties, by all keys."""
+    docs = int(doc[-1] if len(doc) else 0).bit_length()  # doc ascends
+    ranks = int(rank.max(initial=0)).bit_length() if rank is not None else 0
+    if not 0 < 64 - docs - ranks < 64:
+        return np.lexsort((h, doc) if rank is None else (h, rank, doc))
+    key = h >> U(docs + ranks)
+    if ranks:
+        key |= rank.astype(U) << U(64 - docs - ranks)
+    key |= doc.astype(U) << U(64 - docs)
+    order = np.argsort(key)
+    key = key[order]
+    tie = np.flatnonzero(key[1:] == key[:-1])
+    if len(tie) and (h[order[tie]] != h[order[tie + 1]]).any():
+        return np.lexsort((h, doc) if rank is None else (h, rank, doc))
+    return order
+
+
 def key_count(df: DataFrame) -> int:
     return df.select(F.count(F.lit(1))).first()[0]

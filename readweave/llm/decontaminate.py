@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Per document, every window of as many words as a benchmark item that could reach the similarity is fingerprinted: a
-window that shares no shingle with any item of its length has similarity zero, so only windows around shared shingles
-are computed (a lossless cut). Fingerprints meet the items of their length through a multi-index: radius + 1 blocks of
-bits, of which at least one is equal for any pair within the radius. Pairs within the radius are verified by the exact
-similarity of their shingles weighted by multiplicity: sum of minima over sum of maxima.
+Per document, every window of as many words as a benchmark item that could reach the similarity t is fingerprinted: of
+the m shingles of such a window at least 2 t m / (1 + t) are shingles of items of its length, so only windows with as
+many are computed (a lossless cut). Fingerprints meet the items of their length through a multi-index: two blocks of 32
+bits, of which at least one is within its share of the radius (10 and 9 bits) for any pair within it. Pairs within the
+radius are verified by the exact similarity of their shingles weighted by multiplicity: sum of minima over sum of
+maxima.
 
 A document with fewer words than an item is one window, the whole of it.
 
@@ -12,7 +13,8 @@ At similarity 0.8 a fingerprint bit differs with probability 0.15, so of 64 bits
 radius of 20 misses fewer than one in 10,000 such pairs.
 
 The benchmark is read to the driver in blocks of at most `block_items` items and `block_chars` characters (bytes bound
-the broadcast); each block is matched against all documents, so a benchmark of any size works.
+the broadcast); each block is matched against all documents. After every `CHAIN` blocks what is found so far is written,
+so no stage holds more than that many blocks, whatever the size of the benchmark.
 
 Edge cases. Null or blank texts and items match nothing. An item of fewer than `shingle` words is one shingle. Letters
 A-Z are compared in lower case. Items with equal texts all match; repeated rows are matched each; a null item_id is
@@ -21,6 +23,7 @@ reported as null. Extra columns are kept unless named `leaks`. Empty tables give
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -35,6 +38,7 @@ from . import common as C
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType())])
 ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())]))
 FILTER_BITS = 22
+CHAIN = 4
 
 
 def chain(names: np.ndarray, k: int) -> np.ndarray:
@@ -65,40 +69,54 @@ def window_prints(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
 
 
 class MultiIndex:
-    """Fingerprints by the value of each of radius + 1 blocks of bits; pairs() is exact within the radius."""
+    """Fingerprints by a few wide blocks of bits. Two fingerprints within the radius are, in at least one block, within
+    that block's share of it: the shares r1, r2, ... are chosen with (r1 + 1) + (r2 + 1) + ... = radius + 1, so if every
+    block differed by more than its share, the sum would be over the radius. pairs() is exact within the radius."""
 
-    def __init__(self, prints: np.ndarray, radius: int):
+    def __init__(self, prints: np.ndarray, radius: int, blocks: int = 2):
         self.prints, self.radius = prints, radius
-        cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
+        blocks = max(1, min(blocks, radius + 1))
+        cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+        spare = radius + 1 - blocks
         self.blocks = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             value = self.value(prints, a, b)
-            order = np.argsort(value, kind="stable")
-            self.blocks.append((a, b, order, value[order]))
+            known, at = np.unique(value, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], np.arange(len(known) + 1))
+            self.blocks.append((a, b, spare // blocks + (i < spare % blocks), known, order, first))
 
     @staticmethod
     def value(prints: np.ndarray, a: int, b: int) -> np.ndarray:
         return (prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
 
+    def candidates(self, query: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query index, item index) of pairs near in a block, block by block; each value of a block is asked once."""
+        for a, b, r, known, order, first in self.blocks:
+            asked, which = np.unique(self.value(query, a, b), return_inverse=True)
+            rows = np.argsort(which, kind="stable")
+            start = np.searchsorted(which[rows], np.arange(len(asked) + 1))
+            step = max(1, (1 << 21) // max(1, len(known)))
+            for i in range(0, len(asked), step):
+                x, y = np.nonzero(np.bitwise_count(asked[i : i + step, None] ^ known[None, :]) <= r)
+                x += i
+                # all queries of a value with all items of a near one
+                n, m = start[x + 1] - start[x], first[y + 1] - first[y]
+                size = n * m
+                pair = np.repeat(np.arange(len(x)), size)
+                at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+                yield rows[start[x][pair] + at // m[pair]], order[first[y][pair] + at % m[pair]]
+
     def pairs(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query index, item index), each pair once."""
-        found = []
-        for s in range(0, len(query), 1 << 14):
-            part = query[s : s + (1 << 14)]
-            keys = []
-            for a, b, order, value in self.blocks:
-                v = self.value(part, a, b)
-                lo = np.searchsorted(value, v)
-                n = np.searchsorted(value, v, side="right") - lo
-                q = np.repeat(np.arange(len(part)), n)
-                item = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(q))]
+        keys = [np.zeros(0, np.int64)]
+        for s in range(0, len(query), 1 << 13):
+            part = query[s : s + (1 << 13)]
+            for q, item in self.candidates(part):
                 near = np.bitwise_count(part[q] ^ self.prints[item]) <= self.radius
-                keys.append(q[near] * len(self.prints) + item[near])
-            key = np.unique(np.concatenate(keys))
-            found.append((key // len(self.prints) + s, key % len(self.prints)))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                keys.append((q[near] + s) * len(self.prints) + item[near])
+        key = np.unique(np.concatenate(keys))
+        return key // len(self.prints), key % len(self.prints)
 
 
 class Benchmark:
@@ -173,10 +191,15 @@ def leaks(col: pa.Array, bench: Benchmark, threshold: float) -> list[list[dict]]
                     best[int(doc_of[p]), n, i] = (s, 0, words)
         if len(names) < n:
             continue
-        reach = np.zeros(len(names) + 1, np.int64)
-        np.add.at(reach, np.maximum(at - g["m"] + 1, 0), 1)
-        np.add.at(reach, at + 1, -1)
-        first = np.flatnonzero(np.cumsum(reach)[: len(names) - n + 1] > 0)
+        # at this similarity, so many of a window's shingles are shingles of items
+        need = max(1, math.ceil(2 * threshold * g["m"] / (1 + threshold) - 1e-9))
+        if len(at) < need:
+            continue
+        known = np.zeros(len(names) + 1, np.int32)
+        known[at + 1] = 1
+        total = np.cumsum(known)
+        starts = len(names) - n + 1
+        first = np.flatnonzero(total[g["m"] : g["m"] + starts] - total[:starts] >= need)
         first = first[doc_of[first] == doc_of[first + n - 1]]
         if not len(first):
             continue
@@ -225,7 +248,9 @@ def find_leaks(
     """docs with leaks: array of (item_id, similarity, start_word, n_words), one per item found."""
     schema = C.plus(docs.schema, ("leaks", T.ArrayType(LEAK)))
     out = docs.select(*[c for c in docs.columns if c.lower() != "leaks"], F.array().cast(T.ArrayType(LEAK)).alias("leaks"))
-    for ids, texts in blocks(benchmark, item_col, item_text_col, block_items, block_chars):
+    for i, (ids, texts) in enumerate(blocks(benchmark, item_col, item_text_col, block_items, block_chars)):
+        if i and i % CHAIN == 0:
+            out = C.materialize(out, "leaks")
         bench = docs.sparkSession.sparkContext.broadcast(Benchmark(ids, texts, shingle, radius))
 
         def run(batches: Iterator[pa.RecordBatch], bench=bench) -> Iterator[pa.RecordBatch]:

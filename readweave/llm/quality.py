@@ -1,16 +1,20 @@
-"""Quality rules: a linear-chain conditional random field over the lines of a text.
+r"""Quality rules: a linear-chain conditional random field over the lines of a text.
 
-Every line (split at \\n) is a vector of features; Viterbi decoding marks it content or boilerplate; a text is kept if
+Every line (split at \n) is a vector of features; Viterbi decoding marks it content or boilerplate; a text is kept if
 lines marked as content hold at least `share` of its word characters. Base rules come first: a text of under 20 words,
 or with over 30 % of its words in 8-word windows found twice or more, fails.
 
-The field is trained here, by gradient ascent on its likelihood, on a bounded sample of labelled texts: the `most_docs`
-(documented bound: 1,000) labels of each class with the smallest seeded hash of the id, texts of over `most_lines` lines
-left out. The lines of a text labelled 1 count as content, those of one labelled 0 as boilerplate. Without labels of
-both classes, fixed starting weights are used. As all lines of a training text share a mark, training would make marks
-stick without end, and one bad line would condemn a text; so the weight of staying is held to `most_stay`. Rules and decoding cover every row and every whole text.
+The field is trained here. Labels are of texts, not of lines, so the marks of a training text are latent: a label agrees
+with each line of its own mark by a factor exp(`AGREE`), and the likelihood of the labels, summed over all marks, is
+ascended. A text labelled good may thus hold boilerplate lines and the other way round, and what the transition weights
+(one for staying in each mark) learn is how long stretches of one mark are. All weights are shrunk (`decay`); none is
+held to a range.
 
-Edge cases. Null and blank texts have no words: base_failed, not kept. Only \\n splits lines; lines without a word carry
+The sample is bounded: the `most_docs` (1,000) labelled texts of each class with the smallest seeded hash of the id, cut
+into pieces of up to `piece_lines` lines, of which the `most_pieces` (8,000) with the smallest seeded hash are used.
+Without labels of both classes, fixed starting weights are used. Rules and decoding cover every row and every whole text.
+
+Edge cases. Null and blank texts have no words: base_failed, not kept. Only \n splits lines; lines without a word carry
 no features and follow their neighbours. Repeated rows are judged each. Extra columns are kept unless named like a
 result column; a null id is judged like any other. An empty table gives an empty table.
 """
@@ -29,8 +33,9 @@ from . import common as C
 
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
 FEATURES = ("bias", "symbols", "capitals", "digits", "bangs", "repeats", "long_words", "log_words")
-#: emission weights (content minus boilerplate) and transition weights (stay minus switch) before training
-START = np.array([2.0, -12.0, -6.0, -4.0, -10.0, -4.0, 0.0, 0.0, 0.5])
+#: emission weights (content minus boilerplate) and transition weights (staying in boilerplate, in content) before training
+START = np.array([2.0, -12.0, -6.0, -4.0, -10.0, -4.0, 0.0, 0.0, 0.5, 0.5])
+AGREE = 2.0
 
 _IS = np.zeros((6, 256), np.uint8)
 _IS[0, list(b"#*$%&|<>")] = 1
@@ -138,8 +143,9 @@ def _pad(line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield order[:k], line[:-1][order[:k]] + t
 
 
-def viterbi(score: np.ndarray, line: np.ndarray, stay: float) -> np.ndarray:
-    """The best marks (1: content) of each document's lines. score: content minus boilerplate, per line; ties: content."""
+def viterbi(score: np.ndarray, line: np.ndarray, stay: np.ndarray) -> np.ndarray:
+    """The best marks (1: content) of each document's lines. score: content minus boilerplate, per line; stay: what
+    staying in boilerplate and in content adds; ties: content."""
     docs = len(line) - 1
     a, b = np.zeros(docs), np.zeros(docs)  # best scores that end in boilerplate, content
     back = np.zeros((len(score), 2), bool)  # the state before is content
@@ -149,9 +155,9 @@ def viterbi(score: np.ndarray, line: np.ndarray, stay: float) -> np.ndarray:
             a[d], b[d] = 0, score[rows]
             continue
         x, y = a[d], b[d]
-        back[rows, 0], back[rows, 1] = y > x + stay, y + stay >= x
-        a[d] = np.maximum(x + stay, y)
-        b[d] = np.maximum(y + stay, x) + score[rows]
+        back[rows, 0], back[rows, 1] = y > x + stay[0], y + stay[1] >= x
+        a[d] = np.maximum(x + stay[0], y)
+        b[d] = np.maximum(y + stay[1], x) + score[rows]
     mark = np.zeros(len(score), bool)
     state = b >= a
     for t in range(len(steps) - 1, -1, -1):
@@ -162,55 +168,55 @@ def viterbi(score: np.ndarray, line: np.ndarray, stay: float) -> np.ndarray:
     return mark
 
 
-def _forward_backward(score: np.ndarray, line: np.ndarray, stay: float) -> tuple[np.ndarray, float]:
-    """Marginals of content per line, and the expected number of unchanged neighbours."""
+def forward_backward(score: np.ndarray, line: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per line the marginal of content; per document the expected numbers of steps that stay in boilerplate and in
+    content, and the logarithm of the sum over all marks."""
     docs = len(line) - 1
     f, g = np.zeros((len(score), 2)), np.zeros((len(score), 2))
     now = np.zeros((docs, 2))
     steps = list(_pad(line))
     s = np.stack([np.zeros(len(score)), score], axis=1)
+    go = lambda x: np.stack([np.logaddexp(x[:, 0] + stay[0], x[:, 1]), np.logaddexp(x[:, 1] + stay[1], x[:, 0])], axis=1)
     for t, (d, rows) in enumerate(steps):
-        if t:
-            x = now[d]
-            now[d] = np.stack([np.logaddexp(x[:, 0] + stay, x[:, 1]), np.logaddexp(x[:, 1] + stay, x[:, 0])], axis=1)
-        now[d] = now[d] + s[rows]
+        now[d] = (go(now[d]) if t else now[d]) + s[rows]
         f[rows] = now[d]
     z = np.logaddexp(now[:, 0], now[:, 1])
     after = np.zeros((docs, 2))
-    same = 0.0
+    same = np.zeros((docs, 2))
     for t in range(len(steps) - 1, -1, -1):
         d, rows = steps[t]
         g[rows] = after[d]
         y = after[d] + s[rows]
         if t:
-            before = f[rows - 1]
-            same += float(np.exp(before[:, 0] + stay + y[:, 0] - z[d]).sum() + np.exp(before[:, 1] + stay + y[:, 1] - z[d]).sum())
-        after[d] = np.stack([np.logaddexp(y[:, 0] + stay, y[:, 1]), np.logaddexp(y[:, 1] + stay, y[:, 0])], axis=1)
-    zl = np.repeat(z, np.diff(line))
-    return np.exp(f[:, 1] + g[:, 1] - zl), same
+            same[d] += np.exp(f[rows - 1] + stay + y - z[d][:, None])
+        after[d] = go(y)
+    return np.exp(f[:, 1] + g[:, 1] - np.repeat(z, np.diff(line))), same, z
 
 
-def train(x: np.ndarray, line: np.ndarray, label: np.ndarray, rounds: int = 120, rate: float = 0.3, decay: float = 1e-3, most_stay: float = 0.5) -> np.ndarray:
-    """Weights (of FEATURES, then stay) by gradient ascent; both classes weigh the same."""
+def train(x: np.ndarray, line: np.ndarray, label: np.ndarray, rounds: int = 200, rate: float = 0.3, decay: float = 3e-5) -> np.ndarray:
+    """Weights (of FEATURES, then the two of staying) by gradient ascent with steps scaled by the gradients' running
+    size; both classes weigh the same."""
     w = START.copy()
-    y = np.repeat(label, np.diff(line)).astype(float)
-    if not len(y) or y.min() == y.max():
+    if not len(label) or label.min() == label.max():
         return w
-    full = x[:, 0] > 0
-    share = np.where(y > 0, 0.5 / max(1, ((y > 0) & full).sum()), 0.5 / max(1, ((y == 0) & full).sum()))
-    pairs = max(1, len(y) - len(label))
-    speed = np.zeros(len(w))
-    for _ in range(rounds):
-        p, same = _forward_backward(x @ w[:-1], line, w[-1])
-        grad = np.append(x.T @ ((y - p) * share) * 20, (pairs - same) / pairs) - decay * w
-        speed = 0.9 * speed + grad
-        w = w + rate * speed
-        w[-1] = min(max(w[-1], 0.0), most_stay)
+    agree = AGREE * (x[:, 0] > 0)
+    total = np.add.reduceat(agree, line[:-1])
+    weight = np.where(label > 0, 0.5 / (label > 0).sum(), 0.5 / (label == 0).sum())
+    mean, size = np.zeros(len(w)), np.zeros(len(w))
+    for i in range(1, rounds + 1):
+        score = x @ w[:-2]
+        p1, same1, z1 = forward_backward(score + agree, line, w[-2:])
+        p0, same0, z0 = forward_backward(score - agree, line, w[-2:])
+        good = 1 / (1 + np.exp(np.clip(z0 + total - z1, -700, 700)))
+        pull = weight * (label - good)
+        grad = np.append(x.T @ ((p1 - p0) * np.repeat(pull, np.diff(line))), pull @ (same1 - same0)) - decay * w
+        mean, size = 0.9 * mean + 0.1 * grad, 0.99 * size + 0.01 * grad**2
+        w = w + rate * mean / (1 - 0.9**i) / (np.sqrt(size / (1 - 0.99**i)) + 1e-8)
     return w
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_docs: int, most_lines: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the bounded sample of labelled texts: rows, line offsets, labels."""
+def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_docs: int, piece_lines: int = 200, most_pieces: int = 8000, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the bounded sample of labelled texts: rows, line offsets and labels of its pieces."""
     one = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").cast("int").alias("q"))
     mark = F.xxhash64(F.lit(seed), F.col(id_col))
     picked = one.where("q = 1").orderBy(mark, id_col).limit(most_docs).unionByName(one.where("q = 0").orderBy(mark, id_col).limit(most_docs))
@@ -220,20 +226,29 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         for batch in batches:
             for part in C.slices(batch, "text", 1 << 20):
                 t = Texts(part.column("text"))
-                blobs = [t.x[a:b].astype(np.float32).tobytes() if b - a <= most_lines else None for a, b in zip(t.line[:-1].tolist(), t.line[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("q"), pa.array(blobs, pa.binary())], names=["id", "q", "x"])
-
-    features = rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("q", T.IntegerType()), T.StructField("x", T.BinaryType())])).where("x is not null")
-    # one row of an id, so that repeated rows neither reach the driver nor make the choice depend on the order of tasks
-    got = sorted(features.groupBy("id", "q").agg(F.min("x").alias("x")).collect(), key=lambda r: r["id"])
+                pieces = -(-np.diff(t.line) // piece_lines)
+                row = np.repeat(np.arange(len(pieces)), pieces)
+                no = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                begin = t.line[row] + no * piece_lines
+                end = np.minimum(begin + piece_lines, t.line[row + 1])
+                x = t.x.astype(np.float32)
+                blobs = [x[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("q").take(at), pa.array(no), pa.array(blobs, pa.binary())], names=["id", "q", "piece", "x"])
+
+    kinds = [("id", docs.schema[id_col].dataType), ("q", T.IntegerType()), ("piece", T.LongType()), ("x", T.BinaryType())]
+    pieces = rows.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in kinds]))
+    # one row of an id and place, so that repeated rows neither reach the driver nor make the choice depend on the order of tasks
+    once = pieces.groupBy("id", "q", "piece").agg(F.min("x").alias("x"))
+    got = once.orderBy(F.xxhash64(F.lit(seed), "id", "piece"), "id", "piece").limit(most_pieces).collect()
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(float) for r in got]
     x = np.concatenate(xs) if xs else np.zeros((0, len(FEATURES)))
     return x, np.concatenate([[0], np.cumsum([len(v) for v in xs])]).astype(np.int64), np.array([r["q"] for r in got])
 
 
-def judge(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5, most_docs: int = 1000, most_lines: int = 400, drop_text: bool = False) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5, most_docs: int = 1000, drop_text: bool = False) -> DataFrame:
     """docs with n_words, the base counts, base_failed, content_share and kept."""
-    w = train(*sample_features(docs, labels, id_col, text_col, most_docs, most_lines)) if labels is not None else START
+    w = train(*sample_features(docs, labels, id_col, text_col, most_docs)) if labels is not None else START
     keep = [c for c in docs.columns if c.lower() not in RESULT and not (drop_text and c == text_col)]
     long, flag = T.LongType(), T.BooleanType()
     schema = C.plus(docs.select(*keep).schema, *((c, long) for c in RESULT[:5]), ("base_failed", flag), ("content_share", T.DoubleType()), ("kept", flag))
@@ -242,10 +257,8 @@ def judge(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
         for batch in batches:
             for part in C.slices(batch, text_col, 1 << 20):
                 t = Texts(part.column(text_col))
-                marks = viterbi(t.x @ w[:-1], t.line, w[-1])
-                total = np.concatenate([[0], np.cumsum(t.chars * marks)])
-                content = (total[t.line[1:]] - total[t.line[:-1]]) / np.maximum(t.word_chars, 1)
                 failed = (t.n_words < 20) | (100 * t.n_repeat_words > 30 * t.n_words)
+                content = content_share(t, w)
                 cols = {c: pa.array(getattr(t, c).astype(np.int64)) for c in RESULT[:5]}
                 cols |= {"base_failed": pa.array(failed), "content_share": pa.array(content), "kept": pa.array(~failed & (content >= share))}
                 yield C.with_columns(part, schema.names, cols)
@@ -253,6 +266,13 @@ def judge(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
     return docs.mapInArrow(run, schema)
 
 
+def content_share(t: Texts, w: np.ndarray) -> np.ndarray:
+    """Of each text, the share of word characters in lines that decoding marks as content."""
+    marks = viterbi(t.x @ w[:-2], t.line, w[-2:])
+    total = np.concatenate([[0], np.cumsum(t.chars * marks)])
+    return (total[t.line[1:]] - total[t.line[:-1]]) / np.maximum(t.word_chars, 1)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, C.read_table(spark, sf_dir, "labels"), drop_text=True).select("doc_id", *RESULT)

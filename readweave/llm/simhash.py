@@ -294,8 +294,7 @@ def numbered(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Shingle hashes of documents off[d]:off[d + 1] with repeats told apart, ascending in each document, so that bags
     become sets: (shingle, occurrence)."""
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = np.lexsort((h, doc))
-    h = h[order]
+    h = h[C.order_by(doc, h)]
     head = np.ones(len(h), bool)
     head[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(head)
@@ -303,10 +302,30 @@ def numbered(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return C.mix(h + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def bags_of(w: C.Words, v8: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbered k-word shingles of every document, and each document's offsets."""
+def word_names(w: C.Words) -> np.ndarray:
+    return C.hash_ranges(C.load8(w.buf), w.start, w.end - w.start)
+
+
+def shingle_names(w: C.Words, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every k-word shingle by the hashes of its words, and each document's offsets."""
     first, last, off = C.shingles(w, k)
-    return numbered(C.hash_ranges(v8, w.start[first], w.end[last] - w.start[first]), off), off
+    join = lambda h, x: C.mix(h * np.uint64(0x2545F4914F6CDD1D) + x)
+    whole = np.full(w.n, k, np.uint64)
+    for j in range(k):
+        whole[: w.n - j] = join(whole[: w.n - j], names[j:])
+    h = whole[first]
+    short = np.flatnonzero(last - first + 1 < k)  # a document of fewer words
+    h[short] = (last - first + 1)[short]
+    for j in range(k - 1):
+        live = short[first[short] + j <= last[short]]
+        h[live] = join(h[live], names[first[live] + j])
+    return h, off
+
+
+def bags_of(w: C.Words, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbered k-word shingles of every document, and each document's offsets."""
+    h, off = shingle_names(w, names, k)
+    return numbered(h, off), off
 
 
 def bag_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -332,9 +351,9 @@ def many_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         for batch in batches:
             for part in C.slices(batch, "text", 1 << 20):
                 w = C.Words(part.column("text"), lower=True)
-                v8 = C.load8(w.buf)
-                h, off = bags_of(w, v8, wide_shingle)
-                a, b = column(*bags_of(w, v8, shingle), lanes), column(h, off, wide)
+                names = word_names(w)
+                h, off = bags_of(w, names, wide_shingle)
+                a, b = column(*bags_of(w, names, shingle), lanes), column(h, off, wide)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().view(np.int64))) for x in (a, b)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(bag_keys(h, off)), *lists], names=["id", "h", "key", "lanes", "wide"])
 
@@ -351,8 +370,7 @@ def shingle_similarity(a: pa.Array, b: pa.Array, shingle: int) -> np.ndarray:
 
     def bags(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         w = C.Words(col, lower=True)
-        first, last, off = C.shingles(w, shingle)
-        return C.hash_ranges(C.load8(w.buf), w.start[first], w.end[last] - w.start[first]), off
+        return shingle_names(w, word_names(w), shingle)
 
     (x, at), (y, to) = bags(a), bags(b)
     out = np.zeros(len(a))
@@ -397,7 +415,7 @@ def common_shingles(rows: DataFrame, count: int, shingle: int, sample: int = 10_
                 pick = (C.mix(np.asarray(part.column("h")).view(np.uint64)) >> np.uint64(32)) < limit
                 part = part.filter(pa.array(pick))
                 w = C.Words(part.column("text"), lower=True)
-                h, _ = bags_of(w, C.load8(w.buf), shingle)
+                h, _ = bags_of(w, word_names(w), shingle)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["token"])
 
     counts = rows.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -417,7 +435,7 @@ def prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity:
         for batch in batches:
             for part in C.slices(batch, "text", 1 << 20):
                 w = C.Words(part.column("text"), lower=True)
-                h, off = bags_of(w, C.load8(w.buf), shingle)
+                h, off = bags_of(w, word_names(w), shingle)
                 key = bag_keys(h, off)
                 rank = np.zeros(len(h), np.int64)
                 if len(token) and len(h):
@@ -425,7 +443,7 @@ def prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity:
                     rank = np.where(token[place] == h, count[place], 0)
                 n = np.diff(off)
                 doc = np.repeat(np.arange(len(n)), n)
-                h = h[np.lexsort((h, rank, doc))]
+                h = h[C.order_by(doc, h, rank)]
                 at = np.arange(len(h)) - off[:-1][doc]
                 take = at <= (n - np.ceil(similarity * n - 1e-9).astype(np.int64))[doc]
                 # equal texts of a batch have equal prefixes
@@ -512,7 +530,7 @@ def exact_links(texts: pa.Array, root: np.ndarray, asks: np.ndarray, own: bool,
     """Links that, with those within a root, span all pairs of rows of this similarity: of all rows, or (not own) of
     those with asks True to the others."""
     w = C.Words(texts, lower=True)
-    h, off = bags_of(w, C.load8(w.buf), shingle)
+    h, off = bags_of(w, word_names(w), shingle)
     n, m = np.diff(off), len(off) - 1
     doc = np.repeat(np.arange(m), n)
     order = np.argsort(h, kind="stable")
@@ -586,8 +604,8 @@ def similar_rows(
     similarity: float = 0.8,
     shingle: int = 5,
     candidate_shingle: int = 2,
-    lanes: int = 12,
-    wide: int = 16,
+    lanes: int = 6,
+    wide: int = 4,
     margin: float = 0.1,
     radius: int = 4,
     shard: int = 8192,
