@@ -1,14 +1,15 @@
 """Repeated word windows by recompression.
 
-A text is a string of symbols, at first one per word. Each round names pairs (a symbol of the left half of the alphabet
-followed by one of the right half; a seeded hash halves the alphabet) and then runs of one symbol. Names are hashes of
+A text is a string of symbols, at first one per word. Each round names runs of one symbol and then pairs (a symbol of the
+left half of the alphabet followed by one of the right half; a seeded hash halves the alphabet). Names are hashes of
 what they stand for, so all chunks name alike without meeting, and equal substrings get equal symbols but for a fringe
 at their ends. For every symbol its support is kept: the words that alone decide that it stands there. A symbol whose
 support lies inside a window is therefore a symbol of every equal window.
 
 Each window is named by its symbol of the highest round with such a support (of several, the least by hash), together
 with the words of the support. Spark rounds over these names find the symbols that occur again; only their windows go on
-to an exact comparison (windows.py), which verifies the repeats.
+to an exact comparison (windows.py), which verifies the repeats. Three rounds are the default: more (rounds=None: until
+no support fits in a window) give the same result from 2.7 times the names.
 
 Edge cases. Null, empty and short texts (under `size` words) have no windows and lose nothing. A window that occurs
 twice in one document is repeated. Repeated rows repeat each other. A null id is kept. An empty table gives an empty
@@ -84,7 +85,9 @@ def run_round(name: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.nda
 class Recompression(W.Scheme):
     sums = True
 
-    def __init__(self, size: int = 35, rounds: int = 3):
+    hot = 1024
+
+    def __init__(self, size: int = 35, rounds: int | None = 3):
         self.size, self.rounds = size, rounds
 
     def values(self, ids: pa.Array) -> np.ndarray:
@@ -96,9 +99,12 @@ class Recompression(W.Scheme):
         at = np.arange(w.n)
         state = (name, at, at + 1, np.repeat(np.arange(len(w.doc) - 1), w.size()))
         out = [state[:3]]
-        for r in range(self.rounds):
-            state = run_round(*pair_round(*state, 3 * r + 1), 3 * r + 2)
+        while self.rounds is None or len(out) <= self.rounds:
+            r = len(out) - 1
+            state = pair_round(*run_round(*state, 3 * r + 1), 3 * r + 2)
             fits = state[2] - state[1] <= self.size
+            if not fits.any():
+                break
             out.append(tuple(x[fits] for x in state[:3]))
         return out
 
@@ -131,7 +137,8 @@ class Recompression(W.Scheme):
                 continue
             # the least hash in lo..hi-1, by two overlapping powers of two
             rank = C.mix(sym + U(level))
-            table = [(rank & ~U(0xFFFFFFF)) | np.arange(len(sym), dtype=U)]
+            places = U((1 << len(sym).bit_length()) - 1)
+            table = [(rank & ~places) | np.arange(len(sym), dtype=U)]
             while len(table[-1]) > (1 << (len(table) - 1)) and (1 << len(table)) <= int((hi - lo).max()):
                 step = 1 << (len(table) - 1)
                 table.append(np.minimum(table[-1][:-step], table[-1][step:]))
@@ -139,7 +146,7 @@ class Recompression(W.Scheme):
             best = np.empty(len(p), np.int64)
             for d, row in enumerate(table):
                 at = np.flatnonzero(depth == d)
-                best[at] = (np.minimum(row[lo[at]], row[hi[at] - (1 << d)]) & U(0xFFFFFFF)).astype(np.int64)
+                best[at] = (np.minimum(row[lo[at]], row[hi[at] - (1 << d)]) & places).astype(np.int64)
             a, b = left[best], right[best]
             words = (prefix[b] - prefix[a]) * inverse[a]
             name[p] = C.mix(words ^ rank[best])
@@ -176,7 +183,7 @@ class Recompression(W.Scheme):
         return W.group_equal(v8, start, size)[1]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, rounds: int = 3, keep_text: bool = True, **parts: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, rounds: int | None = 3, keep_text: bool = True, **parts: int) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept): kept holds the words left, one space apart (with keep_text)."""
 
     def finish(c: W.Chunk, first: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:

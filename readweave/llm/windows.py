@@ -5,14 +5,17 @@ two schemes), so equal windows have equal names; consecutive windows with one na
 
 1. per chunk, the distinct names go to buckets by name, four bytes each; a bucket tells each chunk which names occur
    again. Names that do not cannot belong to a repeated window.
-2. per chunk, the distinct contexts (text from the start of a run's first window to the end of its last) of the names
-   that occur again go to the buckets; equal contexts merge, and the windows of the rest are compared exactly. Each chunk
-   gets back one bit per window.
-3. per chunk, the bits are laid over the text.
-
-Equal contexts collapse to one inside a chunk, so a passage that a third of all documents hold reaches a bucket once per
-chunk. Chunks and buckets have about `chunk_bytes` and `bucket_bytes` of text, however large the corpus; no task holds
-more. Everything after packing is a function of the packed table, so lost tasks give the same again.
+2. a name with more than `hot` runs in all (a passage or a turn of phrase that very many documents hold) is hot: its
+   windows are named one by one, by a hash of their whole content, and step 1 is done again for these names.
+3. per chunk, the distinct contexts of the names that occur again go to the buckets: the text from the start of a run's
+   first window to the end of its last, or the single windows of hot names. Equal contexts merge, and the windows of the
+   rest are compared exactly. Each chunk gets back one bit per window.
+4. per chunk, the bits are laid over the text.
+
+What surrounds a shared passage differs in every document. Without step 2 all these contexts would meet under the
+passage's name; with it only equal windows meet, once per chunk, and a name that is not hot has at most `hot` contexts.
+So buckets keep about `bucket_bytes` of text and chunks `chunk_bytes`, however large the corpus and however common a
+passage. Everything after packing is a function of the packed table, so lost tasks give the same again.
 """
 
 from __future__ import annotations
@@ -49,6 +52,7 @@ class Scheme:
     """What differs between bytes and words."""
 
     sums = False  # values of equal contexts are added (else: the least counts)
+    hot = 4096  # runs of a name in all chunks, beyond which its windows go one by one
 
     def runs(self, text: pa.Array) -> Runs:
         raise NotImplementedError
@@ -157,42 +161,52 @@ def _split(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(bucket[a]), a, b
 
 
-class Chunk:
-    """The runs of a chunk, its distinct names by bucket, and (with flags) its distinct contexts by bucket."""
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices of ranges, one range after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-    def __init__(self, scheme: Scheme, blob: bytes, buckets: int):
-        self.scheme, self.buckets = scheme, buckets
-        self.ids, self.text = unpack(blob)
-        self.value = scheme.values(self.ids)
-        self.runs = r = scheme.runs(self.text)
-        bucket = (r.name % U(buckets)).astype(np.int64)
-        order = np.lexsort((r.name, bucket))
+
+class Layer:
+    """Runs by name: the distinct names by bucket and, of those that take() picks, the distinct contexts by bucket.
+    value: one per run; times: how often each run occurs in the chunk."""
+
+    def __init__(self, scheme: Scheme, runs: Runs, value: np.ndarray, times: np.ndarray | None, buckets: int):
+        self.scheme, self.runs, self.value, self.buckets = scheme, runs, value, buckets
+        bucket = (runs.name % U(buckets)).astype(np.int64)
+        order = np.lexsort((runs.name, bucket))
         head = np.ones(len(order), bool)
-        head[1:] = r.name[order[1:]] != r.name[order[:-1]]
+        head[1:] = runs.name[order[1:]] != runs.name[order[:-1]]
         self.name_of = np.empty(len(order), np.int64)
         self.name_of[order] = np.cumsum(head) - 1
         self.first = order[head]
         self.name_bucket = bucket[self.first]
-        if scheme.sums:
-            self.multi = np.bincount(self.name_of, minlength=len(self.first)) > 1
+        self.n_runs = np.bincount(self.name_of, times, len(self.first))
+        if scheme.sums or times is not None:
+            self.multi = self.n_runs > 1
         else:
-            v = self.value[r.row[order]]
-            at = np.flatnonzero(head)
+            v, at = value[order], np.flatnonzero(head)
             self.multi = np.minimum.reduceat(v, at) != np.maximum.reduceat(v, at) if len(at) else np.zeros(0, bool)
 
     def names(self) -> Iterator[tuple[int, bytes]]:
         key = (self.runs.name[self.first] >> U(32)).astype(np.uint32)
+        many = self.n_runs > 1
+        runs = np.minimum(self.n_runs, 65535).astype(np.uint16)
         for b, i, j in _split(self.name_bucket):
-            yield b, key[i:j].tobytes() + np.packbits(self.multi[i:j]).tobytes()
+            bits = np.packbits(np.stack([self.multi[i:j], many[i:j]]), axis=None)
+            yield b, np.uint32(j - i).tobytes() + key[i:j].tobytes() + bits.tobytes() + runs[i:j][many[i:j]].tobytes()
 
-    def flag(self, flags: dict[int, bytes]) -> None:
-        """Take the bits of step 1 and find the distinct contexts of the names that occur again."""
-        again = np.zeros(len(self.first), bool)
+    def flags(self, notes: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Per name: it occurs again; it is hot."""
+        again, hot = np.zeros(len(self.first), bool), np.zeros(len(self.first), bool)
         for b, i, j in _split(self.name_bucket):
-            if b in flags:
-                again[i:j] = np.unpackbits(np.frombuffer(flags[b], np.uint8), count=j - i)
+            if b in notes:
+                again[i:j], hot[i:j] = np.unpackbits(np.frombuffer(notes[b], np.uint8), count=2 * (j - i)).reshape(2, -1)
+        return again, hot
+
+    def take(self, names: np.ndarray) -> None:
+        """Find the distinct contexts of the runs of these names (True)."""
         r = self.runs
-        self.live = live = np.flatnonzero(again[self.name_of])
+        self.live = live = np.flatnonzero(names[self.name_of])
         h, cls = group_equal(C.load8(r.buf), r.a[live], r.b[live] - r.a[live])
         bucket = (r.name[live] % U(self.buckets)).astype(np.int64)
         lead = np.flatnonzero(cls == np.arange(len(cls)))
@@ -201,60 +215,122 @@ class Chunk:
         place[lead] = np.arange(len(lead))
         self.context_of = place[cls]
         self.lead, self.context_bucket = live[lead], bucket[lead]
-        v = self.value[r.row[live]]
-        self.context_value = np.zeros(len(lead), np.int64)
-        if self.scheme.sums:
-            np.add.at(self.context_value, self.context_of, v)
-        else:
-            self.context_value[:] = np.iinfo(np.int64).max
-            np.minimum.at(self.context_value, self.context_of, v)
+        self.context_value = self.merged(self.value[live])
+        self.off = np.concatenate([[0], np.cumsum(r.count[self.lead])])  # of the windows of all contexts
 
-    def contexts(self) -> Iterator[tuple[int, bytes]]:
+    def merged(self, value: np.ndarray) -> np.ndarray:
+        """The values of live runs, merged by context."""
+        out = np.zeros(len(self.lead), np.int64) if self.scheme.sums else np.full(len(self.lead), np.iinfo(np.int64).max)
+        (np.add if self.scheme.sums else np.minimum).at(out, self.context_of, value)
+        return out
+
+    def contexts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, sizes, values, text)."""
         r = self.runs
         for b, i, j in _split(self.context_bucket):
             at = self.lead[i:j]
             size = r.b[at] - r.a[at]
-            take = np.repeat(r.a[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            yield b, _zip(size.astype(np.uint32), self.context_value[i:j], r.buf[take])
+            yield b, size.astype(np.uint32), self.context_value[i:j], r.buf[_ranges(r.a[at], size)]
 
-    def removed(self, verdicts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(first window, True where it is repeated) of all windows of live runs, as flat arrays."""
-        r = self.runs
-        count = r.count[self.lead]
-        off = np.concatenate([[0], np.cumsum(count)])
-        bits = np.zeros(off[-1], bool)
-        for b, i, j in _split(self.context_bucket):
-            n = int(off[j] - off[i])
-            bits[off[i] : off[j]] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(verdicts[b]), np.uint8), count=n)
-        n = r.count[self.live]
+    def spread(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From one bit per window of the contexts: (live run, step, True where repeated) of all windows of live runs."""
+        n = self.runs.count[self.live]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = bits[np.repeat(off[self.context_of], n) + step]
+        hit = bits[np.repeat(self.off[self.context_of], n) + step]
         if not self.scheme.sums:
-            hit |= np.repeat(self.value[r.row[self.live]] > self.context_value[self.context_of], n)
-        return np.repeat(r.first[self.live], n) + step, hit
+            hit = hit | np.repeat(self.value[self.live] > self.context_value[self.context_of], n)
+        return np.repeat(self.live, n), step, hit
 
 
-def _find_again(table: pa.Table) -> pa.Table:
-    """Step 1, in a bucket: which names of each chunk occur again."""
+class Chunk:
+    """The runs of a chunk, and the windows of its hot names as a second layer."""
+
+    def __init__(self, scheme: Scheme, blob: bytes, buckets: int):
+        self.scheme, self.buckets = scheme, buckets
+        self.ids, self.text = unpack(blob)
+        runs = scheme.runs(self.text)
+        self.base = Layer(scheme, runs, scheme.values(self.ids)[runs.row], None, buckets)
+
+    def flag(self, names: dict[int, bytes]) -> None:
+        """Take the bits of step 1: contexts of the names that occur again, windows of the hot ones."""
+        again, hot = self.base.flags(names)
+        self.hot = None
+        if hot.any():
+            self.hot = Layer(self.scheme, self.base.runs, self.base.value, None, self.buckets)
+            self.hot.take(again & hot)
+            r, lead = self.base.runs, self.hot.lead
+            n = r.b[lead] - r.a[lead]
+            buf = np.concatenate([r.buf[_ranges(r.a[lead], n)], np.full(16, 32, np.uint8)])
+            of, at, size = self.scheme.windows(buf, np.cumsum(n) - n, np.cumsum(n))
+            name = C.mix(C.hash_ranges(C.load8(buf), at, size) + U(0x5851F42D4C957F2D))
+            one = np.ones(len(of), np.int64)
+            times = np.bincount(self.hot.context_of, minlength=len(lead))[of]
+            self.single = Layer(self.scheme, Runs(name, at, one, of, at, at + size, buf), self.hot.context_value[of], times, self.buckets)
+        self.base.take(again & ~hot)
+
+    def flag_windows(self, names: dict[int, bytes]) -> None:
+        if self.hot is not None:
+            self.single.take(self.single.flags(names)[0])
+
+    def layers(self) -> list[Layer]:
+        return [self.base] if self.hot is None else [self.base, self.single]
+
+    def contexts(self) -> Iterator[tuple[int, bytes]]:
+        by: dict[int, list] = {}
+        for layer in self.layers():
+            for b, *parts in layer.contexts():
+                by.setdefault(b, []).append(parts)
+        for b, parts in sorted(by.items()):
+            yield b, _zip(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def removed(self, verdicts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(first window, True where it is repeated) of all windows of live runs, as flat arrays."""
+        layers = self.layers()
+        bits = [np.zeros(x.off[-1], bool) for x in layers]
+        used: dict[int, int] = {}
+        got = {b: np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(v), np.uint8)) for b, v in verdicts.items()}
+        for x, y in zip(layers, bits, strict=True):
+            for b, i, j in _split(x.context_bucket):
+                n, at = int(x.off[j] - x.off[i]), used.get(b, 0)
+                y[x.off[i] : x.off[j]] = got[b][at : at + n]
+                used[b] = at + n
+        run, step, hit = self.base.spread(bits[0])
+        first = self.base.runs.first[run] + step
+        if self.hot is None:
+            return first, hit
+        window, _, one = self.single.spread(bits[1])
+        repeated = np.zeros(len(self.single.runs.name), bool)
+        repeated[window] = one
+        run, step, more = self.hot.spread(repeated)
+        return np.concatenate([first, self.base.runs.first[run] + step]), np.concatenate([hit, more])
+
+
+def _find_again(table: pa.Table, kind: int, hot: int) -> pa.Table:
+    """Step 1, in a bucket: which names of each chunk occur again, and which are hot."""
     chunks, blobs = table.column("chunk").to_pylist(), table.column("blob").to_pylist()
     bucket = table.column("bucket")[0].as_py()
-    count = [len(b) * 8 // 33 for b in blobs]
-    count = [n if 4 * n + (n + 7) // 8 == len(b) else n - 1 for n, b in zip(count, blobs, strict=True)]
-    keys = np.concatenate([np.frombuffer(b, np.uint32, n) for n, b in zip(count, blobs, strict=True)])
-    multi = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=4 * n), count=n).astype(bool) for n, b in zip(count, blobs, strict=True)])
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    again = multi.copy()
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    # a name marked by one chunk only is decided by that chunk's own rows
-    off = np.concatenate([[0], np.cumsum(count)]).tolist()
-    bits = [np.packbits(again[a:b]).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
-    return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "kind": pa.array([0] * len(chunks), pa.int32()), "bits": pa.array(bits, pa.binary())})
+    keys, multi, runs = [], [], []
+    for b in blobs:
+        n = int(np.frombuffer(b, np.uint32, 1)[0])
+        keys.append(np.frombuffer(b, np.uint32, n, 4))
+        bits = -(-2 * n // 8)
+        one, many = np.unpackbits(np.frombuffer(b, np.uint8, bits, 4 + 4 * n), count=2 * n).reshape(2, n).astype(bool)
+        times = np.ones(n, np.int64)
+        times[many] = np.frombuffer(b, np.uint16, offset=4 + 4 * n + bits)
+        multi.append(one)
+        runs.append(times)
+    off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).tolist()
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    again = np.concatenate(multi) | (np.bincount(at, minlength=len(key)) > 1)[at]
+    is_hot = (np.bincount(at, np.concatenate(runs), len(key)) > hot)[at] if hot else np.zeros(len(again), bool)
+    pairs = list(zip(off[:-1], off[1:], strict=True))
+    bits = [np.packbits(np.stack([again[a:b], is_hot[a:b]]), axis=None).tobytes() for a, b in pairs]
+    cols = {"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "kind": pa.array([kind] * len(chunks), pa.int32())}
+    return pa.table(cols | {"hot": pa.array([bool((again[a:b] & is_hot[a:b]).any()) for a, b in pairs]), "bits": pa.array(bits, pa.binary())})
 
 
 def _verify(scheme: Scheme, table: pa.Table) -> pa.Table:
-    """Step 2, in a bucket: which windows of each chunk's contexts are repeated."""
+    """Step 3, in a bucket: which windows of each chunk's contexts are repeated."""
     chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
     parts = [_unzip(b, np.uint32, np.int64, np.uint8) for b in table.column("blob").to_pylist()]
     size = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -288,15 +364,15 @@ def _verify(scheme: Scheme, table: pa.Table) -> pa.Table:
         got = result[np.repeat(off[context[a:b]], c) + step]
         hit = got >= 2 if scheme.sums else got < np.repeat(value[a:b], c)
         bits.append(zstandard.ZstdCompressor(level=1).compress(np.packbits(hit).tobytes()))
-    return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "kind": pa.array([1] * len(chunks), pa.int32()), "bits": pa.array(bits, pa.binary())})
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "kind": pa.array([2] * len(chunks), pa.int32()), "hot": pa.array([False] * len(chunks)), "bits": pa.array(bits, pa.binary())})
 
 
-BITS = "chunk long, bucket int, kind int, bits binary"
+BITS = "chunk long, bucket int, kind int, hot boolean, bits binary"
 SENT = "bucket int, chunk long, blob binary"
 
 
-def repeated_windows(docs: DataFrame, scheme: Scheme, finish, schema, chunk_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """finish(ids, chunk, first, hit) gives the result batch of each chunk, from its windows and which are repeated."""
+def repeated_windows(docs: DataFrame, scheme: Scheme, finish, schema, chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, hot: int | None = None) -> DataFrame:
+    """finish(chunk, first, hit) gives the result batch of each chunk, from its windows and which are repeated."""
     spark = docs.sparkSession
     chunks = C.materialize(pack(docs, chunk_bytes), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
@@ -307,10 +383,10 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, finish, schema, chunk_byte
         cols = [pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk", "blob"])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, dict[int, dict[int, bytes]]]]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, list[dict[int, bytes]]]]:
         for batch in batches:
             for i in range(batch.num_rows):
-                notes: dict[int, dict[int, bytes]] = {0: {}, 1: {}}
+                notes: list[dict[int, bytes]] = [{}, {}, {}]
                 if "notes" in batch.schema.names:
                     for x in batch.column("notes")[i].as_py() or []:
                         notes[x["kind"]][x["bucket"]] = x["bits"]
@@ -318,22 +394,35 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, finish, schema, chunk_byte
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, c, _ in each(batches):
-            yield sent(list(c.names()), k)
+            yield sent(list(c.base.names()), k)
+
+    def window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, c, notes in each(batches):
+            c.flag(notes[0])
+            yield sent(list(c.single.names()) if c.hot is not None else [], k)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, c, notes in each(batches):
             c.flag(notes[0])
+            c.flag_windows(notes[1])
             yield sent(list(c.contexts()), k)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, c, notes in each(batches):
             c.flag(notes[0])
-            yield finish(c, *c.removed(notes[1]))
+            c.flag_windows(notes[1])
+            yield finish(c, *c.removed(notes[2]))
 
-    def noted(bits: DataFrame) -> DataFrame:
+    def noted(bits: DataFrame, how: str = "left") -> DataFrame:
         per = bits.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "bits")).alias("notes"))
-        return chunks.drop("size").join(per, "chunk", "left")
+        return chunks.drop("size").join(per, "chunk", how)
+
+    def again(sent_names: DataFrame, kind: int, hot: int) -> DataFrame:
+        return C.materialize(sent_names.groupBy("bucket").applyInArrow(lambda t: _find_again(t, kind, hot), BITS), "again")
 
-    again = C.materialize(chunks.mapInArrow(names, SENT).groupBy("bucket").applyInArrow(_find_again, BITS), "again")
-    verdicts = noted(again).mapInArrow(contexts, SENT).groupBy("bucket").applyInArrow(lambda t: _verify(scheme, t), BITS)
-    return noted(again.unionByName(verdicts)).mapInArrow(finished, schema)
+    first = again(chunks.mapInArrow(names, SENT), 0, scheme.hot if hot is None else hot)
+    with_hot = first.join(first.where("hot").select("chunk").distinct(), "chunk", "left_semi")
+    second = again(noted(with_hot, "inner").mapInArrow(window_names, SENT), 1, 0)
+    known = first.unionByName(second)
+    verdicts = noted(known).mapInArrow(contexts, SENT).groupBy("bucket").applyInArrow(lambda t: _verify(scheme, t), BITS)
+    return noted(known.unionByName(verdicts)).mapInArrow(finished, schema)
