@@ -259,6 +259,19 @@ def ends_with(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[
         yield b.cast(schema) if b.schema != schema else b
 
 
+def maybe_in(rows: DataFrame, key: str, asked: DataFrame, out: str, bits: int = 25) -> DataFrame:
+    """rows with `out`: false only if the long column `key` is not among those of asked (true for some more). The bitmap
+    is built where the data are and has at most 2**bits bits (4 MB), which bounds the broadcast; the more keys it holds,
+    the less it spares, but no row is lost."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    bucket, bitmap, place = fresh(rows, "sieve_bucket", "sieve_bits", "sieve_at")
+    marks = asked.select(at(key).alias(place)).groupBy(F.expr(f"bitmap_bucket_number({place})").alias(bucket)).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({place}))").alias(bitmap))
+    placed = rows.withColumn(place, at(key)).withColumn(bucket, F.expr(f"bitmap_bucket_number({place})"))
+    byte = f"conv(hex(substring({bitmap}, cast(bitmap_bit_position({place}) div 8 + 1 as int), 1)), 16, 10)"
+    bit = F.expr(f"(cast({byte} as int) >> cast(bitmap_bit_position({place}) % 8 as int)) & 1 = 1")
+    return placed.join(F.broadcast(marks), bucket, "left").withColumn(out, F.coalesce(bit, F.lit(False))).drop(bucket, bitmap, place)
+
+
 def order_by(doc: np.ndarray, h: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
     """The order by (doc, rank, h), by one sort of a packed key; where the packing has ties, by all keys."""
     docs = int(doc[-1] if len(doc) else 0).bit_length()  # doc ascends

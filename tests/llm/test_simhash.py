@@ -216,3 +216,42 @@ def test_rows_of_one_id_with_different_texts_stay(spark, make_docs):
     a, b, c = text(), text(), text()
     rows = S.drop_similar(make_docs((1, a), (1, b), (1, a), (2, c), (3, b))).collect()
     assert sorted((r.doc_id, r.text) for r in rows) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_near_pairs_of_a_large_token():
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 2**64, 700, dtype=np.uint64)
+    root, side = rng.integers(0, 500, 700), rng.integers(1, 3, 700)
+    near = np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= 26, 1) & (root[:, None] != root[None])
+    for s in (side, np.zeros(700, np.int64)):
+        want = near & ((s[:, None] != s[None]) | (s[:, None] == 0))
+        assert set(zip(*S.near_pairs(fp, 26, root, s), strict=True)) == set(zip(*np.nonzero(want), strict=True))
+
+
+def test_groups_of_sorted_batches():
+    token = np.sort(np.concatenate([np.repeat(7, 250_000), np.repeat(9, 140_000), np.arange(10, 300_000) // 3]))
+    cols = [token, np.arange(len(token))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 9_999]) for c in cols], names=["token", "node"]) for i in range(0, len(token), 9_999)]
+    seen = {}
+    for t, at, large in S.grouped(iter(batches), ["token"], ["node"], 1 << 15):
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(t["token"])], strict=True):
+            assert int(t["token"][a]) not in seen
+            seen[int(t["token"][a])] = large or b - a
+    value, n = np.unique(token, return_counts=True)
+    assert seen == dict(zip(value.tolist(), n.tolist(), strict=True))
+
+
+def test_shingles_of_many_texts(spark, make_docs):
+    """A class of copies that are similar to the original only, larger than a token may have nodes for all pairs."""
+    rng = random.Random(8)
+    voc = [f"w{i}" for i in range(3000)]
+    first = [rng.choice(voc) for _ in range(250)]
+    docs = [(0, " ".join(first))]
+    for i in range(1, 160):
+        w = list(first)
+        for j in rng.sample(range(250), 4):
+            w[j] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    apart = [(200 + i, " ".join(rng.choice(voc) for _ in range(100)) + " " + " ".join(first[:40])) for i in range(160)]
+    got = {r.id: r.component for r in S.similar_documents(make_docs(*docs, *apart), lanes=1).collect()}
+    assert all(got[i] == 0 for i, _ in docs) and all(got[i] == i for i, _ in apart)
