@@ -201,21 +201,34 @@ def umi_counts(keyed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def best_reads(keyed: DataFrame, o: BundleOptions, keys: Sequence[str] = KEYS, tie: str = "hash") -> DataFrame:
-    """The best read of every (bundle, umi): highest mapq, then the fewest hits (NH, X0) or XT = U, then the tie rule.
-    tie `hash`: of equal reads the first seen drops out and the least seeded hash of ord stays, as likely for each;
-    tie `ord`: the first seen."""
-    order: list[Column] = [F.desc("mapq")]
-    if o.detection_method in ("NH", "X0"):
-        hits = F.col("tags")[o.detection_method].cast("int")
-        order.append(F.when(hits.isNull(), F.raise_error(F.lit(f"tag {o.detection_method} not present")).cast("int")).otherwise(hits).asc())
-    elif o.detection_method == "XT":
-        order.append((F.col("tags")["XT"] == "U").desc_nulls_last())
-    by = Window.partitionBy(*keys, "umi").orderBy(*order)
-    if tie == "ord":
-        return keyed.withColumn("place", F.row_number().over(by.orderBy(*order, "ord"))).where("place = 1").drop("place")
-    first = F.min("ord").over(Window.partitionBy(*keys, "umi"))
-    ranked = keyed.withColumn("first_seen", F.col("ord") == first).withColumn("place", F.row_number().over(Window.partitionBy(*keys, "umi").orderBy(*order, "first_seen", F.xxhash64(F.lit(o.seed), F.col("ord")))))
-    return ranked.where("place = 1").drop("place", "first_seen")
+    """The best read of every (bundle, umi): highest mapq, then the fewest hits (NH, X0) or the first with XT = U, then
+    the tie rule. tie `hash`: of equal reads the least seeded hash of ord stays, as likely for each. The first read of
+    the highest mapq takes no part if another is equal to it; one that came with fewer hits than an earlier read of its
+    mapq does. tie `ord`: the first seen. A tag is looked at only where a read has the highest mapq so far together with
+    another (XT: until the first U); there it must be present."""
+    group = Window.partitionBy(*keys, "umi")
+    level = Window.partitionBy(*keys, "umi", "mapq")
+    before = lambda w: w.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    method, top = o.detection_method, F.max("mapq").over(group)
+    marked = keyed.withColumns({"top": F.col("mapq") == top, "first": F.col("ord") == F.min("ord").over(level)})
+    score = F.lit(0).cast("long")
+    if method:
+        tag = F.col("tags")[method]
+        unique = F.coalesce(tag == "U", F.lit(False))
+        so_far = F.max("mapq").over(before(group))
+        marked = marked.withColumn("contends", F.coalesce(F.col("mapq") >= so_far, F.lit(True)))
+        asked = F.col("contends") & (F.sum(F.col("contends").cast("int")).over(level) > 1)
+        if method == "XT":
+            asked = asked & ~F.coalesce(F.max(unique & F.col("contends")).over(before(level)), F.lit(False))
+            value = F.when(unique, F.col("ord")).otherwise(F.lit((1 << 63) - 1))
+        else:
+            value = F.coalesce(tag.cast("long"), F.lit((1 << 63) - 1))
+        missing = F.raise_error(F.lit(f"tag {method} not present")).cast("long")
+        marked = marked.withColumn("asked", asked).withColumn("score", F.when(F.col("asked") & tag.isNull(), missing).otherwise(value))
+        score = F.col("score")
+    last = [F.col("ord")] if tie == "ord" else [F.col("first").asc(), F.xxhash64(F.lit(o.seed), F.col("ord"))]
+    place = F.row_number().over(group.orderBy(F.col("top").desc(), score.asc(), *last))
+    return marked.withColumn("place", place).where("place = 1").select(*keyed.columns)
 
 
 def detect_features(reads: DataFrame, tags: Sequence[str] = ("NH", "X0", "XT"), n: int = 1000) -> DataFrame:

@@ -171,12 +171,16 @@ def _label(bundles: DataFrame, keys: Sequence[str], method: str, threshold: int)
 
 def _near_pairs(counts: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
     """(keys, a, b, n_a, n_b): pairs of UMIs within threshold, each both ways."""
-    lengths = counts.agg(F.min(F.length("umi")), F.max(F.length("umi"))).first()
-    if lengths[0] is None:
+    lengths = [r[0] for r in counts.select(F.length("umi")).distinct().collect()]  # a handful
+    if not lengths:
         return counts.select(*keys, F.col("umi").alias("a"), F.col("umi").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b")).limit(0)
-    if lengths[0] != lengths[1]:
+    # the UMIs of a bundle must have one length; different bundles may differ
+    if len(lengths) > 1 and counts.groupBy(*keys).agg((F.min(F.length("umi")) != F.max(F.length("umi"))).alias("differ")).where("differ").limit(1).count():
         raise ValueError("UMIs of a bundle must have one length")
-    blocks = counts.select(*keys, "umi", "n", F.inline(B.block_keys(F.col("umi"), lengths[0], threshold + 1)))
+    blocks = None
+    for n in sorted(lengths):
+        one = counts.where(F.length("umi") == n).select(*keys, "umi", "n", F.inline(B.block_keys(F.col("umi"), n, threshold + 1)))
+        blocks = one if blocks is None else blocks.unionByName(one)
     side = lambda x: blocks.select(*keys, "block", "part", F.col("umi").alias(x), F.col("n").alias(f"n_{x}"))
     on = [*keys, "block", "part"]
     pairs = side("a").join(side("b"), on).where((F.col("a") != F.col("b")) & (B.hamming("a", "b") <= threshold))

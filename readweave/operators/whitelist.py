@@ -83,9 +83,9 @@ def local_minima(y: np.ndarray) -> np.ndarray:
     return np.flatnonzero((y[1:-1] < y[:-2]) & (y[1:-1] < y[2:])) + 1
 
 
-def descending_counts(histogram: DataFrame, most: int = 50_000_000) -> np.ndarray:
+def descending_counts(histogram: DataFrame) -> np.ndarray:
     """All counts, largest first: run lengths come to the driver, one row per different count."""
-    runs = histogram.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(most).collect()
+    runs = histogram.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()
     return np.repeat(np.array([r.n for r in runs], np.int64), np.array([r.k for r in runs], np.int64))
 
 

@@ -208,6 +208,31 @@ def best_reads_by_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.best_reads(keyed, o, tie="ord").select("ord", "umi")
 
 
+TOP = "t AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY contig, position, is_reverse, umi) AS k FROM (SELECT * FROM b QUALIFY mapq = max(mapq) OVER (PARTITION BY contig, position, is_reverse, umi)) WINDOW w AS (PARTITION BY contig, position, is_reverse, umi ORDER BY ord))"
+
+
+@query(f"{AL}, {BUNDLED}, {TOP} SELECT contig, position, umi, is_reverse, CASE WHEN k = 1 THEN min(ord) WHEN k = 2 THEN max(ord) END AS ord, true AS allowed FROM t GROUP BY contig, position, umi, is_reverse, k")
+def best_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ties by the default rule: the only read that may stay, or whether the one that stays is not the first."""
+    o = R.BundleOptions(extract_method="tag")
+    keyed = R.bundle_keys(R.triage(view(spark, sf_dir, "alignments"), o), o)
+    whole = Window.partitionBy(*R.KEYS, "umi")
+    top = keyed.withColumn("m", F.max("mapq").over(whole)).where("mapq = m").withColumns({"k": F.count(F.lit(1)).over(whole), "early": F.min("ord").over(whole)})
+    out = R.best_reads(keyed, o).select("ord", "contig", "position", "umi", F.col("is_reverse").cast("int").alias("is_reverse")).join(top.select("ord", "k", "early"), "ord")
+    return out.select("contig", "position", "umi", "is_reverse", F.when(F.col("k") <= 2, F.col("ord")).alias("ord"), ((F.col("k") == 1) | (F.col("ord") != F.col("early"))).alias("allowed"))
+
+
+@query(f"{AL}, {BUNDLED}, {TOP} SELECT contig, position, umi, is_reverse, coalesce(min(ord) FILTER (t_xt = 'U'), CASE WHEN k = 1 THEN min(ord) WHEN k = 2 THEN max(ord) END) AS ord FROM t GROUP BY contig, position, umi, is_reverse, k HAVING k <= 2 OR bool_or(t_xt = 'U')")
+def best_reads_first_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XT with ties by the default rule, where one read only may stay."""
+    o = R.BundleOptions(extract_method="tag", detection_method="XT")
+    keyed = R.bundle_keys(R.triage(view(spark, sf_dir, "alignments"), o), o)
+    whole = Window.partitionBy(*R.KEYS, "umi")
+    top = keyed.withColumn("m", F.max("mapq").over(whole)).where("mapq = m").withColumns({"k": F.count(F.lit(1)).over(whole), "u": F.max(F.col("tags")["XT"] == "U").over(whole)})
+    out = R.best_reads(keyed, o).join(top.where("k <= 2 or u").select("ord"), "ord", "left_semi")
+    return out.select("contig", "position", "umi", F.col("is_reverse").cast("int").alias("is_reverse"), "ord")
+
+
 @query(f"{AL} SELECT tag, bool_and(present) AS present FROM (SELECT unnest(['NH', 'XT', 'XF']) AS tag, unnest([t_nh IS NOT NULL, t_xt IS NOT NULL, t_xf IS NOT NULL]) AS present FROM (SELECT * FROM alignments ORDER BY ord LIMIT 1001) WHERE flag & 4 = 0) GROUP BY tag")
 def tag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.detect_features(view(spark, sf_dir, "alignments"), ("NH", "XT", "XF"))

@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
+    """The shared folder; where none is set, a temporary one if driver and executors are one process, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} share")
         base = tempfile.mkdtemp(prefix="readweave-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base, True)

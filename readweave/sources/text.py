@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of a text file, from 0. Partitions are counted first and each adds the lines before it. Files
-    that end in .gz are read by Spark; other gzip endings (.z) by their content."""
+    """(line_no, line) of text files, from 0, one file after the other in the order of their paths. The parts in which
+    Spark reads the files are counted first, and each adds the lines before it. Files that end in .gz are read by Spark;
+    other gzip endings (.z) by their content."""
     if path.lower().endswith(".z"):
         import gzip
 
@@ -17,18 +18,20 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         unzip = F.udf(lambda b: gzip.decompress(bytes(b)).decode("utf-8"), T.StringType())
         rows = raw.select(F.posexplode(F.split(F.regexp_replace(unzip("content"), "\n$", ""), "\n")).alias("line_no", "line"))
         return rows.select(F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
-    # the id holds the partition in its upper bits and the place in it in the lower 33
-    marked = lines.withColumn("id", F.monotonically_increasing_id()).select("line", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-    sizes = {r.part: r.n for r in marked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number per partition
+    value = F.regexp_replace("value", "\r$", "").alias("line")
+    source = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    # the id holds the partition in its upper bits and the place in it in the lower 33. A partition may hold parts of
+    # several files, but each part is read in one piece, so a line's place in its part is its id less the part's first
+    marked = spark.read.text(path).select(value, source.alias("part"), F.monotonically_increasing_id().alias("id"))
+    sizes = marked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).collect()  # one row per part of a file
     before, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        before.append(total)
-        total += sizes.get(p, 0)
+    for r in sorted(sizes, key=lambda r: (r.part.file, r.part.start)):
+        before.append((r.part, total - r.first))
+        total += r.n
     if len(before) <= 1:
-        return marked.select(F.col("at").alias("line_no"), "line")
-    base = spark.createDataFrame(list(enumerate(before)), "part long, base long")
-    return marked.join(F.broadcast(base), "part").select((F.col("base") + F.col("at")).alias("line_no"), "line")
+        return marked.select("id", "line").withColumnRenamed("id", "line_no").withColumn("line_no", F.col("line_no") + F.lit(before[0][1] if before else 0))
+    base = spark.createDataFrame(before, "part struct<file:string, start:long>, base long")
+    return marked.join(F.broadcast(base), "part").select((F.col("base") + F.col("id")).alias("line_no"), "line")
 
 
 def read_barcode_list(spark: SparkSession, path: str) -> DataFrame:
