@@ -240,7 +240,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     pieces = rows.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in kinds]))
     # one row of an id and place, so that repeated rows neither reach the driver nor make the choice depend on the order of tasks
     once = pieces.groupBy("id", "q", "piece").agg(F.min("x").alias("x"))
-    got = once.orderBy(F.xxhash64(F.lit(seed), "id", "piece"), "id", "piece").limit(most_pieces).collect()
+    got = sorted(once.orderBy(F.xxhash64(F.lit(seed), "id", "piece"), "id", "piece").limit(most_pieces).collect(), key=lambda r: (r["id"], r["piece"]))
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(float) for r in got]
     x = np.concatenate(xs) if xs else np.zeros((0, len(FEATURES)))
     return x, np.concatenate([[0], np.cumsum([len(v) for v in xs])]).astype(np.int64), np.array([r["q"] for r in got])

@@ -475,8 +475,9 @@ def prefixes(rows: DataFrame, common: np.ndarray, similarity: float, shingle: in
     return rows.mapInArrow(run, "token long, node long, fp long")
 
 
-def near_pairs(fp: np.ndarray, bits: int, root: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (x, y) of different roots and sides (side 0: any) whose fingerprints differ in at most `bits` bits."""
+def near_pairs(fp: np.ndarray, bits: int, root: np.ndarray, side: np.ndarray, wide: np.ndarray, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) of different roots and sides (side 0: any) whose fingerprints differ in at most `bits` bits, and whose
+    wide fingerprints (one row each) in at most `wide_bits`."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for k in range(0, len(fp), 256):
         a = slice(k, k + 256)
@@ -484,7 +485,11 @@ def near_pairs(fp: np.ndarray, bits: int, root: np.ndarray, side: np.ndarray) ->
         near &= root[a, None] != root[None, k:]
         near &= (side[a, None] != side[None, k:]) | (side[a, None] == 0)
         x, y = np.nonzero(near)
-        out.append((x[y > x] + k, y[y > x] + k))
+        x, y = x[y > x] + k, y[y > x] + k
+        for j in range(0, len(x), 1 << 17):
+            p, q = x[j : j + (1 << 17)], y[j : j + (1 << 17)]
+            good = np.bitwise_count(wide[p] ^ wide[q]).sum(axis=1, dtype=np.int64) <= wide_bits
+            out.append((p[good], q[good]))
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
@@ -506,6 +511,10 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], cols: list[str],
     held: list[dict[str, np.ndarray]] = []
     size = beyond = 0
 
+    def column(batch: pa.RecordBatch, c: str) -> np.ndarray:
+        x = batch.column(c)
+        return np.asarray(x.flatten()).reshape(len(x), -1) if pa.types.is_list(x.type) else np.asarray(x)
+
     def table() -> dict[str, np.ndarray]:
         return {c: np.concatenate([h[c] for h in held]) for c in keys + cols}
 
@@ -516,7 +525,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], cols: list[str],
         return np.flatnonzero(head)
 
     for batch in batches:
-        held.append({c: np.asarray(batch.column(c)) for c in keys + cols})
+        held.append({c: column(batch, c) for c in keys + cols})
         size += batch.num_rows
         if size < 1 << 17:
             continue
@@ -590,26 +599,26 @@ def prefix_pairs(tokens: DataFrame, bits: int, most: int = 128) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, n long").distinct()
 
 
-def hot_pairs(tokens: DataFrame, hot: DataFrame, roots: DataFrame, bits: int, shard: int = 1 << 13) -> DataFrame:
-    """(a, b): all pairs of nodes of different roots(node, root) that share a token of hot(token, n) and whose
-    fingerprints differ in at most `bits` bits. A token of many nodes is dealt into shards; every pair of shards is a
-    group."""
-    known = tokens.join(hot.select("token", F.ceil(F.col("n") / shard).cast("int").alias("k")), "token").join(roots, "node", "left")
+def hot_pairs(tokens: DataFrame, hot: DataFrame, nodes: DataFrame, bits: int, wide_bits: int, shard: int = 1 << 12) -> DataFrame:
+    """(a, b): all pairs of nodes(node, root, wide) of different roots that share a token of hot(token, n) and whose
+    fingerprints differ in at most `bits` and `wide_bits` bits. A token of many nodes is dealt into shards; every pair of
+    shards is a group."""
+    known = tokens.join(hot.select("token", F.ceil(F.col("n") / shard).cast("int").alias("k")), "token").join(nodes, "node")
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    dealt = known.select("token", "node", "fp", F.coalesce("root", "node").alias("root"), "k", own.alias("own"))
+    dealt = known.select("token", "node", "fp", "root", "wide", "k", own.alias("own"))
     group = F.explode(F.expr("transform(sequence(0, k - 1), x -> struct(least(x, own) as lo, greatest(x, own) as hi))"))
     side = F.when(F.col("pair.lo") == F.col("pair.hi"), 0).otherwise(F.when(F.col("own") == F.col("pair.lo"), 1).otherwise(2)).alias("side")
     keys = ["token", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at, large in grouped(batches, keys, ["node", "fp", "root", "side"], 1 << 62):
+        for t, at, large in grouped(batches, keys, ["node", "fp", "root", "side", "wide"], 1 << 62):
             pairs = []
             for a, b in zip(at.tolist(), [*at[1:].tolist(), len(t["node"])], strict=True):
-                x, y = near_pairs(t["fp"][a:b].view(np.uint64), bits, t["root"][a:b], t["side"][a:b])
+                x, y = near_pairs(t["fp"][a:b].view(np.uint64), bits, t["root"][a:b], t["side"][a:b], t["wide"][a:b].view(np.uint64), wide_bits)
                 pairs.append(ordered_pairs(t["node"][a:b], x, y))
             yield pair_batch(pairs)
 
-    rows = dealt.withColumn("pair", group).select("token", "pair.lo", "pair.hi", "node", "fp", "root", side)
+    rows = dealt.withColumn("pair", group).select("token", "pair.lo", "pair.hi", "node", "fp", "root", "wide", side)
     found = rows.repartition(C.n_shuffle(tokens.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long, n long")
     return found.select("a", "b").distinct()
 
@@ -623,7 +632,7 @@ def similar_rows(
     candidate_shingle: int = 2,
     lanes: int = 4,
     wide: int = 16,
-    margin: float = 0.15,
+    margin: float = 0.12,
     prefix_bits: int = 24,
     radius: int = 4,
     shard: int = 8192,
@@ -671,7 +680,8 @@ def similar_rows(
     # tokens of many nodes: most nodes are of one class by now; all pairs of different classes
     hot = maybe.where("n > 0").groupBy(F.col("a").alias("token")).agg(F.max("n").alias("n"))
     some = prefixes(rows, common, similarity, shingle, bitmaps(hot.select("token", F.lit(0).alias("level")), 23))
-    final = components(decided(hot_pairs(some, hot, components(good), prefix_bits), good))
+    placed = nodes.select("node", "wide").join(components(good), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "wide")
+    final = components(decided(hot_pairs(some, hot, placed, prefix_bits, most_bits), good))
     return prints.select("id", "h", F.col("key").alias("node")).join(final, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
 
 

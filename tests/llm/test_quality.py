@@ -26,25 +26,50 @@ def test_counts(documents, odd):
     assert [tuple(int(getattr(t, c)[i]) for c in Q.RESULT[:5]) for i in range(len(texts))] == [brute(x) for x in texts]
 
 
+def total(score, marks, stay):
+    """The weight of a sequence of marks."""
+    return sum(x for x, m in zip(score, marks, strict=True) if m) + sum(stay[p] for p, q in zip(marks[:-1], marks[1:], strict=True) if p == q)
+
+
 def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(0)
     sizes = [int(rng.integers(1, 8)) for _ in range(40)]
     line = np.concatenate([[0], np.cumsum(sizes)])
-    score = rng.normal(size=line[-1])
-    marks = Q.viterbi(score, line, 0.7)
+    score, stay = rng.normal(size=line[-1]), np.array([0.7, 0.2])
+    marks = Q.viterbi(score, line, stay)
     for a, b in zip(line[:-1], line[1:], strict=True):
-        s = score[a:b]
-        best = max(itertools.product([1, 0], repeat=b - a), key=lambda z: sum(x for x, m in zip(s, z, strict=True) if m) + 0.7 * sum(p == q for p, q in zip(z[:-1], z[1:], strict=True)))
+        best = max(itertools.product([1, 0], repeat=b - a), key=lambda z: total(score[a:b], z, stay))
         assert tuple(marks[a:b].astype(int)) == best
 
 
 def test_marginals():
-    score, line, stay = np.array([0.3, -1.0, 0.5]), np.array([0, 3]), 0.4
-    weight = {z: np.exp(sum(x for x, m in zip(score, z, strict=True) if m) + stay * sum(a == b for a, b in zip(z[:-1], z[1:], strict=True))) for z in itertools.product([0, 1], repeat=3)}
-    p, same = Q._forward_backward(score, line, stay)
-    total = sum(weight.values())
-    assert np.allclose(p, [sum(v for z, v in weight.items() if z[i]) / total for i in range(3)])
-    assert np.isclose(same, sum(v * sum(a == b for a, b in zip(z[:-1], z[1:], strict=True)) for z, v in weight.items()) / total)
+    score, line, stay = np.array([0.3, -1.0, 0.5]), np.array([0, 3]), np.array([0.4, -0.3])
+    weight = {z: np.exp(total(score, z, stay)) for z in itertools.product([0, 1], repeat=3)}
+    p, same, z = Q.forward_backward(score, line, stay)
+    every = sum(weight.values())
+    assert np.isclose(z[0], np.log(every))
+    assert np.allclose(p, [sum(v for m, v in weight.items() if m[i]) / every for i in range(3)])
+    for s in (0, 1):
+        assert np.isclose(same[0, s], sum(v * sum(a == b == s for a, b in zip(m[:-1], m[1:], strict=True)) for m, v in weight.items()) / every)
+
+
+def test_transitions_matter():
+    """Lines of weak evidence in long stretches: with the learned transitions fewer texts are judged wrong."""
+    rng = np.random.default_rng(5)
+    n, size = 400, 12
+    label = rng.integers(0, 2, n)
+    x = np.zeros((n * size, len(Q.FEATURES)))
+    x[:, 0] = 1
+    x[:, 1] = rng.normal(np.where(np.repeat(label, size) > 0, 0.0, 0.15), 0.12)
+    line = np.arange(0, n * size + 1, size)
+    w = Q.train(x[: n * size // 2], line[: n // 2 + 1], label[: n // 2])
+    assert w[-2:].sum() > 0.5
+
+    def wrong(w):
+        marks = Q.viterbi(x @ w[:-2], line, w[-2:]).reshape(n, size)[n // 2 :]
+        return (marks != label[n // 2 :, None]).mean()
+
+    assert wrong(w) < 0.8 * wrong(np.append(w[:-2], [0, 0]))
 
 
 def test_held_out_accuracy(spark):

@@ -222,10 +222,12 @@ def test_near_pairs_of_a_large_token():
     rng = np.random.default_rng(4)
     fp = rng.integers(0, 2**64, 700, dtype=np.uint64)
     root, side = rng.integers(0, 500, 700), rng.integers(1, 3, 700)
+    wide = np.stack([fp, fp, fp[::-1]], axis=1)
     near = np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= 26, 1) & (root[:, None] != root[None])
+    near &= np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2) <= 82
     for s in (side, np.zeros(700, np.int64)):
         want = near & ((s[:, None] != s[None]) | (s[:, None] == 0))
-        assert set(zip(*S.near_pairs(fp, 26, root, s), strict=True)) == set(zip(*np.nonzero(want), strict=True))
+        assert set(zip(*S.near_pairs(fp, 26, root, s, wide, 82), strict=True)) == set(zip(*np.nonzero(want), strict=True))
 
 
 def test_groups_of_sorted_batches():
