@@ -62,7 +62,7 @@ def synthetic():
     return docs + [(2300, big), (2301, "q " + big[100:9000] + " z")]
 
 
-@pytest.mark.parametrize("parts", [{}, {"chunk_bytes": 20_000, "bucket_bytes": 20_000}])
+@pytest.mark.parametrize("parts", [{}, {"chunk_bytes": 20_000, "bucket_bytes": 20_000}, {"chunk_bytes": 20_000, "bucket_bytes": 20_000, "hot": 2}])
 def test_bytes(spark, make_docs, documents, odd, parts):
     docs = documents[:120] + odd + synthetic()
     got = suffixes.remove_repeats(make_docs(*docs, extra=True), **parts)
@@ -71,7 +71,7 @@ def test_bytes(spark, make_docs, documents, odd, parts):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed == r.n_bytes - len(r.kept)
 
 
-@pytest.mark.parametrize("parts", [{}, {"chunk_bytes": 20_000, "bucket_bytes": 20_000}])
+@pytest.mark.parametrize("parts", [{}, {"chunk_bytes": 20_000, "bucket_bytes": 20_000}, {"chunk_bytes": 20_000, "bucket_bytes": 20_000, "hot": 2}])
 def test_words(spark, make_docs, documents, odd, parts):
     docs = documents[:120] + odd + synthetic()
     got = recompression.remove_repeats(make_docs(*docs, extra=True), **parts)
