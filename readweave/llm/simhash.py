@@ -24,7 +24,9 @@ similar_documents() finds all near copies by the similarity of bags of five-word
 3. Of these pairs, those that no link joins yet and whose `wide` fingerprints do not rule the similarity out by far are
    compared by their texts: of each node the nearest first, then all that are left apart. Shingles of many nodes are, in
    most cases, those of one large class: first each node meets its nearest ones; then, with the classes known, all pairs
-   of different classes, in shards. Only pairs compared by their texts are links of a class.
+   of different classes. As these may be most pairs of a large group, none of them becomes a row: tasks over shards of a
+   shingle's nodes return links that span them, and the texts of what these links join meet in shards of their own, where
+   all pairs are compared and spanning links are left. Only pairs compared by their texts are links of a class.
 
 Edge cases. Null, empty and blank texts have fingerprint zero and are linked like any other. A null id is kept, is never
 a representative if another member has an id, and gets the class of its fingerprint. Repeated rows stay. An empty table
@@ -133,6 +135,14 @@ class Sets:
     def __init__(self, n: int):
         self.p = np.arange(n)
 
+    @classmethod
+    def of(cls, label: np.ndarray) -> Sets:
+        """Rows of equal labels are joined."""
+        sets = cls(len(label))
+        _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+        sets.p = first[inverse]
+        return sets
+
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             x, y = self.root(a), self.root(b)
@@ -475,21 +485,56 @@ def prefixes(rows: DataFrame, common: np.ndarray, similarity: float, shingle: in
     return rows.mapInArrow(run, "token long, node long, fp long")
 
 
-def near_pairs(fp: np.ndarray, bits: int, root: np.ndarray, side: np.ndarray, wide: np.ndarray, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (x, y) of different roots and sides (side 0: any) whose fingerprints differ in at most `bits` bits, and whose
-    wide fingerprints (one row each) in at most `wide_bits`."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+def near_blocks(fp: np.ndarray, bits: int, root: np.ndarray, side: np.ndarray, wide: np.ndarray, wide_bits: int, sets: Sets | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (x, y), x ascending, of different roots and sides (side 0: any) whose fingerprints differ in at most `bits`
+    bits, and whose wide fingerprints (one row each) in at most `wide_bits`. sets: without pairs that it joined before
+    their block began."""
     for k in range(0, len(fp), 256):
         a = slice(k, k + 256)
         near = np.bitwise_count(fp[a, None] ^ fp[None, k:]) <= bits
         near &= root[a, None] != root[None, k:]
         near &= (side[a, None] != side[None, k:]) | (side[a, None] == 0)
+        if sets is not None:
+            part = sets.root(np.arange(k, len(fp)))
+            near &= part[:256, None] != part[None]
         x, y = np.nonzero(near)
         x, y = x[y > x] + k, y[y > x] + k
         for j in range(0, len(x), 1 << 17):
             p, q = x[j : j + (1 << 17)], y[j : j + (1 << 17)]
             good = np.bitwise_count(wide[p] ^ wide[q]).sum(axis=1, dtype=np.int64) <= wide_bits
-            out.append((p[good], q[good]))
+            yield p[good], q[good]
+
+
+def near_pairs(fp: np.ndarray, bits: int, root: np.ndarray, side: np.ndarray, wide: np.ndarray, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of near_blocks()."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *near_blocks(fp, bits, root, side, wide, wide_bits)]
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def similar_links(blocks: Iterator[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, off: np.ndarray, similarity: float, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among the pairs of rows (x, y) whose bags have the similarity; row i has the distinct shingles
+    ids[off[i]:off[i + 1]]. sets holds what is joined before, and is joined further."""
+    size = np.diff(off)
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for p, q in blocks:
+        cut = np.flatnonzero(np.diff(p, prepend=-1))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(p)], strict=True):
+            x, y = p[a : a + 1], q[a:b]
+            n, own = size[y], size[x]
+            may = (np.minimum(n, own) >= similarity * np.maximum(n, own) - 1e-6) & (n > 0) & (sets.root(y) != sets.root(x))
+            y, n = y[may], n[may]
+            if not len(y):
+                continue
+            start = np.cumsum(n) - n
+            bag = ids[off[x[0]] : off[x[0] + 1]]
+            mark[bag] = True
+            low = np.add.reduceat(mark[ids[np.repeat(off[y] - start, n) + np.arange(n.sum())]], start, dtype=np.int64)
+            mark[bag] = False
+            y = y[low / (own + n - low) >= similarity]
+            y = y[np.unique(sets.root(y), return_index=True)[1]]  # one link to a set
+            sets.join(np.repeat(x, len(y)), y)
+            out.append((np.repeat(x, len(y)), y))
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
@@ -599,28 +644,97 @@ def prefix_pairs(tokens: DataFrame, bits: int, most: int = 128) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, n long").distinct()
 
 
-def hot_pairs(tokens: DataFrame, hot: DataFrame, nodes: DataFrame, bits: int, wide_bits: int, shard: int = 1 << 12) -> DataFrame:
-    """(a, b): all pairs of nodes(node, root, wide) of different roots that share a token of hot(token, n) and whose
-    fingerprints differ in at most `bits` and `wide_bits` bits. A token of many nodes is dealt into shards; every pair of
-    shards is a group."""
-    known = tokens.join(hot.select("token", F.ceil(F.col("n") / shard).cast("int").alias("k")), "token").join(nodes, "node")
+def paired_shards(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, node, k, ...), each key dealt into k shards by its node, once for every pair of shards (lo, hi) that its
+    own is in. side: 1 in lo, 2 in hi, 0 if they are one."""
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    dealt = known.select("token", "node", "fp", "root", "wide", "k", own.alias("own"))
     group = F.explode(F.expr("transform(sequence(0, k - 1), x -> struct(least(x, own) as lo, greatest(x, own) as hi))"))
     side = F.when(F.col("pair.lo") == F.col("pair.hi"), 0).otherwise(F.when(F.col("own") == F.col("pair.lo"), 1).otherwise(2)).alias("side")
-    keys = ["token", "lo", "hi"]
+    paired = rows.withColumn("own", own).withColumn("pair", group).select(*rows.columns, "pair.lo", "pair.hi", side).drop("k")
+    keys = [key, "lo", "hi"]
+    return paired.repartition(C.n_shuffle(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node")
+
+
+def hot_links(tokens: DataFrame, hot: DataFrame, nodes: DataFrame, bits: int, wide_bits: int, shard: int = 1 << 12) -> DataFrame:
+    """(a, b): links that span, but need not be, all pairs of nodes(node, root, wide) of different roots that share a token
+    of hot(token, n) and whose fingerprints differ in at most `bits` and `wide_bits` bits. A token of many nodes is dealt
+    into shards; every pair of shards is a group. A task returns at most one link per node."""
+    known = tokens.join(hot.select("token", F.ceil(F.col("n") / shard).cast("int").alias("k")), "token").join(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at, large in grouped(batches, keys, ["node", "fp", "root", "side", "wide"], 1 << 62):
-            pairs = []
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(t["node"])], strict=True):
-                x, y = near_pairs(t["fp"][a:b].view(np.uint64), bits, t["root"][a:b], t["side"][a:b], t["wide"][a:b].view(np.uint64), wide_bits)
-                pairs.append(ordered_pairs(t["node"][a:b], x, y))
-            yield pair_batch(pairs)
+        for t, at, _ in grouped(batches, ["token", "lo", "hi"], ["node", "fp", "root", "side", "wide"], 1 << 62):
+            node, row = np.unique(t["node"], return_inverse=True)
+            sets = Sets(len(node))
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(row)], strict=True):
+                own = Sets.of(sets.root(row[a:b]))
+                for x, y in near_blocks(t["fp"][a:b].view(np.uint64), bits, t["root"][a:b], t["side"][a:b], t["wide"][a:b].view(np.uint64), wide_bits, own):
+                    own.join(x, y)
+                    sets.join(row[a:b][x], row[a:b][y])
+            root = sets.root(np.arange(len(node)))
+            moved = np.flatnonzero(root != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"])
+
+    rows = paired_shards(known.select("token", "node", "fp", "root", "wide", "k"), "token")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches with a text as tables of whole groups and the starts of these: about `most` bytes, or one group."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(t: pa.Table) -> np.ndarray:
+        head = np.ones(t.num_rows, bool)
+        for i, c in enumerate(keys):
+            x = np.asarray(t.column(c))
+            head[1:] = (x[1:] != x[:-1]) | (head[1:] if i else False)
+        return np.flatnonzero(head)
 
-    rows = dealt.withColumn("pair", group).select("token", "pair.lo", "pair.hi", "node", "fp", "root", "wide", side)
-    found = rows.repartition(C.n_shuffle(tokens.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long, n long")
-    return found.select("a", "b").distinct()
+    for batch in batches:
+        for part in C.slices(batch, "text", 1 << 20):
+            held.append(part)
+            if sum(b.nbytes for b in held) < most:
+                continue
+            t = pa.Table.from_batches(held)
+            at = starts(t)
+            last = int(at[-1])  # this group may go on
+            if last:
+                yield t.slice(0, last), at[:-1]
+            held = t.slice(last).to_batches()
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, starts(t)
+
+
+def compared(links: DataFrame, placed: DataFrame, nodes: DataFrame, rows: DataFrame, bits: int, wide_bits: int, similarity: float, shingle: int, shard: int = 1 << 12, shard_bytes: int = 1 << 23) -> DataFrame:
+    """(a, b): spanning links among all pairs of placed(node, root, wide) of different roots that links join, directly or
+    not, whose fingerprints differ in at most `bits` and `wide_bits` bits and whose texts have the similarity. The texts
+    of each component go to its tasks, one for every pair of its shards, and are compared there; pairs do not leave it."""
+    found = components(links)
+    blobs = found.select("node", F.col("root").alias("blob")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("blob")).distinct())
+    texts = C.materialize(texts_of(blobs, nodes, rows), "texts")
+    room = F.greatest(F.ceil(F.count(F.lit(1)) / shard), F.ceil(F.sum(F.octet_length("text")) / shard_bytes), F.lit(1))
+    known = texts.join(texts.groupBy("blob").agg(room.cast("int").alias("k")), "blob").join(placed, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, ["blob", "lo", "hi"], shard_bytes):
+            bags, fps = [], []
+            for batch in t.to_batches():
+                for part in C.slices(batch, "text", 1 << 20):
+                    w = C.Words(part.column("text"), lower=True)
+                    h, off = bags_of(w, word_names(w), shingle)
+                    bags.append((h, np.diff(off)))
+                    fps.append(majority(h, off))
+            fp = np.concatenate(fps)
+            ids = np.unique(np.concatenate([h for h, _ in bags]), return_inverse=True)[1].astype(np.int32)
+            off = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in bags]))])
+            node, root, side = (np.asarray(t.column(c)) for c in ("node", "root", "side"))
+            wide = np.asarray(t.column("wide").combine_chunks().flatten()).reshape(len(node), -1).view(np.uint64)
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(node)], strict=True):
+                sets = Sets.of(root[a:b])
+                x, y = similar_links(near_blocks(fp[a:b], bits, root[a:b], side[a:b], wide[a:b], wide_bits, sets), ids, off[a : b + 1], similarity, sets)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a:b][x]), pa.array(node[a:b][y])], names=["a", "b"])
+
+    return paired_shards(known.select("blob", "node", "root", "wide", "text", "k"), "blob").mapInArrow(run, "a long, b long")
 
 
 def similar_rows(
@@ -677,11 +791,12 @@ def similar_rows(
     common = common_shingles(rows, shingle)
     maybe = C.materialize(prefix_pairs(prefixes(rows, common, similarity, shingle), prefix_bits), "maybe")
     good = decided(maybe.where("n = 0").select("a", "b"), good)
-    # tokens of many nodes: most nodes are of one class by now; all pairs of different classes
+    # tokens of many nodes: most nodes are of one class by now; all pairs of different classes, compared where they meet
     hot = maybe.where("n > 0").groupBy(F.col("a").alias("token")).agg(F.max("n").alias("n"))
     some = prefixes(rows, common, similarity, shingle, bitmaps(hot.select("token", F.lit(0).alias("level")), 23))
     placed = nodes.select("node", "wide").join(components(good), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "wide")
-    final = components(decided(hot_pairs(some, hot, placed, prefix_bits, most_bits), good))
+    more = compared(hot_links(some, hot, placed, prefix_bits, most_bits), placed, nodes, rows, prefix_bits, most_bits, similarity, shingle)
+    final = components(good.unionByName(more))
     return prints.select("id", "h", F.col("key").alias("node")).join(final, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
 
 

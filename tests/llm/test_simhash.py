@@ -257,3 +257,57 @@ def test_shingles_of_many_texts(spark, make_docs):
     apart = [(200 + i, " ".join(rng.choice(voc) for _ in range(100)) + " " + " ".join(first[:40])) for i in range(160)]
     got = {r.id: r.component for r in S.similar_documents(make_docs(*docs, *apart), lanes=1).collect()}
     assert all(got[i] == 0 for i, _ in docs) and all(got[i] == i for i, _ in apart)
+
+
+def test_links_of_bags_against_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.choice(400, 60, replace=False)
+    bags = [rng.permutation(np.unique(np.concatenate([rng.choice(base, k, replace=False), rng.integers(400, 900, rng.integers(0, 12))]))) for k in rng.integers(35, 61, 300)] + [base[:0]]
+    off = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    known = rng.integers(0, 280, 301)
+    close = lambda i, j: len(np.intersect1d(bags[i], bags[j])) >= 0.8 * len(np.union1d(bags[i], bags[j]))
+    x, y = np.triu_indices(301, 1)
+    sets = S.Sets.of(known)
+    a, b = S.similar_links(iter([(x[:20_000], y[:20_000]), (x[20_000:], y[20_000:])]), np.concatenate(bags).astype(np.int32), off, 0.8, sets)
+    assert all(close(i, j) for i, j in zip(a, b, strict=True)) and 0 < len(a) < 301
+    want = S.Sets.of(known)
+    for i, j in zip(x, y, strict=True):
+        if close(i, j):
+            want.join(np.array([i]), np.array([j]))
+    assert sets.root(np.arange(301)).tolist() == want.root(np.arange(301)).tolist()
+
+
+def test_whole_groups_of_sorted_texts():
+    key = np.sort(np.random.default_rng(6).integers(0, 60, 4000))
+    key[1000:3000] = key[1000]
+    key.sort()
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(4000)), pa.array(["t" * 900] * 4000)], names=["key", "node", "text"])
+    seen, nodes = [], []
+    for t, at in S.whole_groups((batch.slice(i, 700) for i in range(0, 4000, 700)), ["key"], 1 << 19):
+        seen += np.asarray(t.column("key"))[at].tolist()
+        nodes += t.column("node").to_pylist()
+    assert seen == np.unique(key).tolist() and nodes == list(range(4000))
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, make_docs, monkeypatch):
+    """Texts of one passage, most pairs just below the similarity: what is written grows with the texts, not the pairs."""
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(300):
+        w = list(base)
+        for e in range(6 if i % 10 else 4):
+            w[rng.randrange(e * 50 + 5, e * 50 + 45)] = f"x{i}e{e}"
+        docs.append((i, " ".join(w)))
+    want = similar_classes(docs)
+    assert 200 < len(want) < 300
+    sizes, write = {}, C.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(C, "materialize", counted)
+    assert groups(S.similar_documents(make_docs(*docs)).collect()) == want
+    assert max(sizes.values()) <= 64 * len(docs), sizes  # shingles of up to 128 texts leave as many pairs
