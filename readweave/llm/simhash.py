@@ -712,7 +712,9 @@ def compared(links: DataFrame, placed: DataFrame, nodes: DataFrame, rows: DataFr
     found = components(links)
     blobs = found.select("node", F.col("root").alias("blob")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("blob")).distinct())
     texts = C.materialize(texts_of(blobs, nodes, rows), "texts")
-    room = F.greatest(F.ceil(F.count(F.lit(1)) / shard), F.ceil(F.sum(F.octet_length("text")) / shard_bytes), F.lit(1))
+    n = F.count(F.lit(1))
+    # shards that fit a task; a smaller component is spread over tasks too, by at most eight shards
+    room = F.greatest(F.ceil(n / shard), F.ceil(F.sum(F.octet_length("text")) / shard_bytes), F.least(F.lit(8), F.ceil(n / 256)))
     known = texts.join(texts.groupBy("blob").agg(room.cast("int").alias("k")), "blob").join(placed, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

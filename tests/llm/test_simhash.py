@@ -289,16 +289,36 @@ def test_whole_groups_of_sorted_texts():
     assert seen == np.unique(key).tolist() and nodes == list(range(4000))
 
 
-def test_pairs_of_a_large_group_are_no_rows(spark, make_docs, monkeypatch):
-    """Texts of one passage, most pairs just below the similarity: what is written grows with the texts, not the pairs."""
-    rng = random.Random(15)
-    base = [f"w{i}" for i in range(300)]
+def crowd(rng, n=300):
+    """Texts of one passage, most pairs just below the similarity."""
     docs = []
-    for i in range(300):
-        w = list(base)
+    for i in range(n):
+        w = [f"w{j}" for j in range(300)]
         for e in range(6 if i % 10 else 4):
             w[rng.randrange(e * 50 + 5, e * 50 + 45)] = f"x{i}e{e}"
         docs.append((i, " ".join(w)))
+    return docs
+
+
+def test_a_large_group_in_many_shards(spark, make_docs, monkeypatch):
+    docs = crowd(random.Random(15))
+    hot, compared, dealt = S.hot_links, S.compared, []
+
+    def spread(rows, key, real=S.paired_shards):
+        dealt.append((key, real(rows, key).select(key, "lo", "hi").distinct().count()))
+        return real(rows, key)
+
+    monkeypatch.setattr(S, "paired_shards", spread)
+    monkeypatch.setattr(S, "hot_links", lambda *a: hot(*a, shard=64))
+    monkeypatch.setattr(S, "compared", lambda *a: compared(*a, shard=32))
+    got = groups(S.similar_documents(make_docs(*docs), lanes=1).collect())
+    assert got == similar_classes(docs)
+    assert min(n for _, n in dealt) >= 15, dealt
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, make_docs, monkeypatch):
+    """What is written grows with the texts, not the pairs."""
+    docs = crowd(random.Random(15))
     want = similar_classes(docs)
     assert 200 < len(want) < 300
     sizes, write = {}, C.materialize
