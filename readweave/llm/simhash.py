@@ -9,7 +9,8 @@
 4. Per pair of shards a BK-tree (children keyed by the integer Hamming distance to the parent) is built level by level
    and all queries walk it together, following only edges within [d - r, d + r]. Links are merged at once by union-find
    and leave the task as at most one (member, root) row per fingerprint: no pairs are emitted.
-5. Connected components over those rows by alternating large-star and small-star rounds, written to the shared folder.
+5. Connected components over those rows: of up to a million in one task, of more by alternating large-star and small-star
+   rounds, written to the shared folder.
 
 similar_documents() finds all near copies by the similarity of bags of five-word shingles, in which repeats are told apart
 (shingle, occurrence), so that a bag is a set. Documents of equal bags are one node; texts decide every other link.
@@ -269,11 +270,31 @@ def near_links(reps: DataFrame, radius: int = 4, shard: int = 8192, count: int |
     return dealt_out.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable from every node that has a link, by alternating large-star and
-    small-star rounds; each round is written to the shared folder and the loop ends when nothing changes."""
-    spark = links.sparkSession
-    edges = C.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes that links (a, b) join to a smaller one, the smallest they reach."""
+    held = [np.stack([np.asarray(b.column("a")), np.asarray(b.column("b"))]) for b in batches]
+    node, row = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1), return_inverse=True)
+    sets = Sets(len(node))
+    sets.join(*row.reshape(2, -1))
+    root = sets.root(np.arange(len(node)))
+    moved = np.flatnonzero(root != np.arange(len(node)))
+    for i in range(0, len(moved), 1 << 16):
+        part = moved[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(node[root[part]])], names=["node", "root"])
+
+
+def components(links: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(node, root): the smallest node reachable from every node that has a link. Up to `most` links (16 MB) are joined in
+    one task, without a shuffle; more, by alternating large-star and small-star rounds, each of which is written to the
+    shared folder; the loop ends when nothing changes. Rounds are many queries, whose plans, threads and task records stay
+    in the driver for a while: with few links they cost more than the links."""
+    edges = C.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    if C.key_count(edges) <= most:
+        found = C.materialize(edges.coalesce(1).mapInArrow(joined, "node long, root long"), "edges")
+        C.drop_table(edges)
+        return found
+    raw, edges = edges, C.materialize(edges.distinct(), "edges")
+    C.drop_table(raw)
     before = None
     while True:
         # large star: every larger neighbour (and the node itself) goes to the smallest neighbour
@@ -442,8 +463,11 @@ def bitmaps(tokens: DataFrame, bits: int, levels: int = 1) -> np.ndarray:
     at = (F.pmod("token", F.lit(1 << bits)) + 1).alias("at")  # bit positions count from 1
     marks = tokens.select(at, "level").groupBy("level", F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
     out = np.zeros((levels, 1 << bits - 3), np.uint8)
-    for r in marks.toLocalIterator():
+    # a local iterator runs a job per partition: few, whatever the number of shuffle partitions
+    made = C.materialize(marks, "bitmaps")
+    for r in made.coalesce(8).toLocalIterator():
         out[r.level, (r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    C.drop_table(made)
     return out
 
 
@@ -785,19 +809,24 @@ def similar_rows(
         """good with the links of these pairs: the nearest first, then, pair by pair, what these leave apart."""
         near = C.materialize(told(apart(pairs, components(good))), "pairs")
         good = C.materialize(good.unionByName(checked(near)), "good")
+        C.let_go(docs.sparkSession)
         left = apart(near.select("a", "b"), components(good))
         return C.materialize(good.unionByName(verified(left, nodes, rows, similarity, shingle)), "good")
 
     good = C.materialize(checked(told(links)), "good")
+    C.let_go(docs.sparkSession)  # after each step, so that the driver holds the queries of one
     # prefixes: every pair of the similarity shares a token
     common = common_shingles(rows, shingle)
     maybe = C.materialize(prefix_pairs(prefixes(rows, common, similarity, shingle), prefix_bits), "maybe")
+    C.let_go(docs.sparkSession)
     good = decided(maybe.where("n = 0").select("a", "b"), good)
+    C.let_go(docs.sparkSession)
     # tokens of many nodes: most nodes are of one class by now; all pairs of different classes, compared where they meet
     hot = maybe.where("n > 0").groupBy(F.col("a").alias("token")).agg(F.max("n").alias("n"))
     some = prefixes(rows, common, similarity, shingle, bitmaps(hot.select("token", F.lit(0).alias("level")), 23))
     placed = nodes.select("node", "wide").join(components(good), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "wide")
     more = compared(hot_links(some, hot, placed, prefix_bits, most_bits), placed, nodes, rows, prefix_bits, most_bits, similarity, shingle)
+    C.let_go(docs.sparkSession)
     final = components(good.unionByName(more))
     return prints.select("id", "h", F.col("key").alias("node")).join(final, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
 

@@ -346,3 +346,53 @@ def test_any_order_of_prefixes_gives_the_same_classes(spark, make_docs, monkeypa
     count = S.common_shingles
     monkeypatch.setattr(S, "common_shingles", lambda *a: count(*a) * 0 if order == "hash only" else ~count(*a))
     assert groups(S.similar_documents(make_docs(*docs)).collect()) == similar_classes(docs)
+
+
+def jobs_of(spark, run):
+    """What run() returns, and how many Spark jobs it took."""
+    sc = spark.sparkContext
+    group = f"jobs-{random.getrandbits(64)}"
+    sc.setJobGroup(group, "counted")
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("how", [{}, {"most": 0}])
+def test_components_of_few_links_take_few_jobs(spark, how):
+    """Rounds, each of many jobs, serve more links than one task joins; both find the same."""
+    rng = random.Random(17)
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(500)]
+    links = list(zip(ids[:200], ids[1:201], strict=True)) + [(ids[0], ids[0]), (ids[7], ids[8]), (ids[8], ids[7]), (ids[450], ids[450])]  # a chain, repeats, loops
+    links += [(ids[300], i) for i in ids[301:400]]  # a star
+    rng.shuffle(links)
+    want = {i: min(ids[:201]) for i in ids[:201]} | {i: min(ids[300:400]) for i in ids[300:400]}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(7)
+    found, jobs = jobs_of(spark, lambda: S.components(frame, **how))
+    rows = found.collect()
+    assert len(rows) == len({r.node for r in rows})
+    assert {r.node: r.root for r in rows} == {i: r for i, r in want.items() if i != r}
+    assert how or jobs <= 6, jobs  # a chain of 200 took several times as many
+    assert S.components(frame.where("a = b"), **how).count() == 0
+
+
+def test_bitmaps_take_few_jobs(spark):
+    """However many the shuffle partitions, what comes to the driver comes in a few jobs."""
+    rng = random.Random(18)
+    tokens = [(rng.randrange(-(1 << 63), 1 << 63), level) for level in (0, 1) for _ in range(3000)]
+    frame = spark.createDataFrame(tokens, "token long, level int")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 60)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got, jobs = jobs_of(spark, lambda: S.bitmaps(frame, 23, 2))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    want = np.zeros((2, 1 << 20), np.uint8)
+    for t, level in tokens:
+        at = t % (1 << 23)
+        want[level, at >> 3] |= 1 << (at & 7)
+    assert (got == want).all()
+    assert jobs <= 12, jobs
